@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.engine.shared import table
-from tallyspark.operators import value_counts, wide
+from tallyspark.operators import instants, value_counts, wide
 from tallyspark.plans import training_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -34,5 +34,10 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return value_counts.profile(table(spark, d, "sales_lines"), table(spark, d, "catalog_tables"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile}
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """One UTC instant per event whose time can be read."""
+    return instants.event_instants(table(spark, d, "trace_rows"), table(spark, d, "time_contracts"))
+
+
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile, "p5_found": p5_found}
 SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2}

@@ -46,7 +46,7 @@ fig AS (
   SELECT dataset_name, load_no, c, count(*) AS n, count(v) AS f, count(DISTINCT v) AS d, min(TRY_CAST(v AS DOUBLE)) AS lo, max(TRY_CAST(v AS DOUBLE)) AS hi,
          min(v) AS tlo, max(v) AS thi, avg(TRY_CAST(v AS DOUBLE)) AS m, stddev_pop(TRY_CAST(v AS DOUBLE)) AS sd
   FROM long GROUP BY ALL),
-both AS (
+pair AS (
   SELECT a.*, k.kind, k.nullable, k.note, b.n AS bn, b.f AS bf, b.d AS bd, b.m AS bm, b.sd AS bsd,
          regexp_extract(note, '^range (\\S+?)\\.\\.(\\S+)$', 1) AS r0, regexp_extract(note, '^range (\\S+?)\\.\\.(\\S+)$', 2) AS r1
   FROM fig a JOIN cols k USING (dataset_name, load_no, c)
@@ -60,14 +60,14 @@ mix AS (
       SELECT dataset_name, load_no, c, v, p FROM shares UNION ALL SELECT dataset_name, load_no + 1, c, v, -p FROM shares)
     GROUP BY ALL) GROUP BY ALL),
 found AS (
-  SELECT dataset_name, load_no, c, 'null_in_required' AS finding FROM both WHERE NOT nullable AND f < n
-  UNION ALL SELECT dataset_name, load_no, c, 'range' FROM both WHERE r0 <> '' AND CASE WHEN lo IS NOT NULL THEN lo < TRY_CAST(r0 AS DOUBLE) OR hi > TRY_CAST(r1 AS DOUBLE) ELSE tlo < r0 OR thi > r1 END
+  SELECT dataset_name, load_no, c, 'null_in_required' AS finding FROM pair WHERE NOT nullable AND f < n
+  UNION ALL SELECT dataset_name, load_no, c, 'range' FROM pair WHERE r0 <> '' AND CASE WHEN lo IS NOT NULL THEN lo < TRY_CAST(r0 AS DOUBLE) OR hi > TRY_CAST(r1 AS DOUBLE) ELSE tlo < r0 OR thi > r1 END
   UNION ALL SELECT DISTINCT l.dataset_name, l.load_no, l.c, 'pattern' FROM long l JOIN cols k USING (dataset_name, load_no, c)
     WHERE starts_with(note, 'pattern ') AND NOT regexp_full_match(v, substr(note, 9))
-  UNION ALL SELECT dataset_name, load_no, c, 'null_share' FROM both WHERE 100 * abs((n - f) * bn - (bn - bf) * n) > 15 * n * bn
-  UNION ALL SELECT b.dataset_name, b.load_no, b.c, 'mix' FROM both b JOIN mix USING (dataset_name, load_no, c) WHERE kind = 'DIMENSION_CATEGORICAL' AND f > 0 AND bf > 0 AND x > 0.35
-  UNION ALL SELECT dataset_name, load_no, c, 'level' FROM both WHERE kind = 'MEASURE' AND f > 0 AND bf > 0 AND abs(m - bm) > bsd
-  UNION ALL SELECT dataset_name, load_no, c, 'distinct' FROM both WHERE kind = 'IDENTIFIER' AND f > 0 AND bf > 0 AND (2 * d * bf < bd * f OR d * bf > 2 * bd * f)
+  UNION ALL SELECT dataset_name, load_no, c, 'null_share' FROM pair WHERE 100 * abs((n - f) * bn - (bn - bf) * n) > 15 * n * bn
+  UNION ALL SELECT b.dataset_name, b.load_no, b.c, 'mix' FROM pair b JOIN mix USING (dataset_name, load_no, c) WHERE kind = 'DIMENSION_CATEGORICAL' AND f > 0 AND bf > 0 AND x > 0.35
+  UNION ALL SELECT dataset_name, load_no, c, 'level' FROM pair WHERE kind = 'MEASURE' AND f > 0 AND bf > 0 AND abs(m - bm) > bsd
+  UNION ALL SELECT dataset_name, load_no, c, 'distinct' FROM pair WHERE kind = 'IDENTIFIER' AND f > 0 AND bf > 0 AND (2 * d * bf < bd * f OR d * bf > 2 * bd * f)
   UNION ALL SELECT r.dataset_name, r.load_no, '*', 'row_count' FROM reg r LEFT JOIN (SELECT dataset_name, load_no, count(*) AS n FROM sales_lines GROUP BY ALL) s USING (dataset_name, load_no)
     WHERE r.row_count <> coalesce(s.n, 0))
 SELECT dataset_name, load_no, c AS column_name, finding FROM found
