@@ -1,0 +1,151 @@
+"""One ranking from pairwise comparisons: skew-symmetric spectral ranking.
+
+Matches are reduced to one margin per pair of items, the shrunk log-odds of the pair's wins, and margins are divided by
+the roots of both items' total absolute margin, so that an item that met many opponents weighs no more than one that met
+few. The matrix of normalised margins is skew-symmetric; its leading singular plane is computed by Lanczos steps whose
+vectors stay distributed as arrays in a table of items: each step is one join of pairs and items, one sum per item, and
+one aggregate row of inner products (against all earlier vectors, so the basis stays orthogonal). Only coefficients
+reach the driver. In the plane, the direction without the constant part is taken as the start, and among all
+directions the one whose order agrees with most outcomes orients the ranking.
+
+Pairs are kept partitioned by item between steps, lineage is cut by reliable checkpoints, and nothing is broadcast by
+hint. Memory on the driver is the square of the number of steps.
+
+Defined results: comparisons without id, of an item with itself, or whose winner isn't one of the two don't count; of
+differing rows of one id the least counts; items that never met anyone in the largest connected part, and items whose
+margins are all even, have strength 0; equal strengths rank by name. No counting comparison gives an empty result.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tallyspark.engine.shared import durable, trimmed
+
+#: Steps of the Lanczos iteration at most, and the relative residual of the plane at which it ends.
+MAX_STEPS, TOLERANCE = 40, 1e-7
+#: Wins added to either side of a pair, which keeps one-sided pairs finite.
+SHRINK = 0.5
+#: Directions tried over the full turn, and again between the best one's neighbours.
+DIRECTIONS = 72
+
+
+def counted_matches(matches: DataFrame) -> DataFrame:
+    """(match_id, a, b, a_won): each match that counts once; names in lower case without outer blanks."""
+    name = lambda c: F.lower(trimmed(c))
+    rows = matches.select("match_id", name("radiant_team").alias("a"), name("dire_team").alias("b"), name("winner").alias("w"))
+    a_won = F.when((F.col("w") == F.col("a")) | (F.col("w") == "radiant"), True).when((F.col("w") == F.col("b")) | (F.col("w") == "dire"), False)
+    rows = rows.withColumn("a_won", a_won).filter("match_id is not null and a <> '' and b <> '' and a <> b and a_won is not null")
+    return rows.groupBy("match_id").agg(F.min(F.struct("a", "b", "a_won")).alias("m")).select("match_id", "m.*")
+
+
+def pair_wins(won: DataFrame) -> DataFrame:
+    """(a, b, wins_a, wins_b) with a < b, from rows (a, b, a_won)."""
+    low = F.col("a") < F.col("b")
+    first_won = F.col("a_won") == low
+    return won.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(
+        F.sum(F.when(first_won, 1).otherwise(0)).alias("wins_a"), F.sum(F.when(first_won, 0).otherwise(1)).alias("wins_b")
+    )
+
+
+def _dot(coefficients: np.ndarray) -> Column:
+    """The linear combination of the basis vectors in q, per item."""
+    weights = F.array(*[F.lit(float(c)) for c in coefficients])
+    return F.aggregate(F.zip_with("q", weights, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
+def _leading_plane(betas: list[float]) -> tuple[np.ndarray, np.ndarray, float, float]:
+    """Two vectors that span the leading plane of the skew tridiagonal matrix, its singular value, and the residual."""
+    k = len(betas)
+    t = np.zeros((k, k))
+    for i, b in enumerate(betas[:-1]):
+        t[i + 1, i], t[i, i + 1] = b, -b
+    values, vectors = np.linalg.eig(t)
+    lead = int(np.argmax(values.imag))
+    y = vectors[:, lead]
+    p, _ = np.linalg.qr(np.column_stack([y.real, y.imag]))
+    return p[:, 0], p[:, 1], float(values[lead].imag), float(betas[-1] * abs(y[-1]))
+
+
+def spectral_ranking(pairs: DataFrame) -> DataFrame:
+    """(item, strength, games, wins, rank) from pair_wins; strengths are log-odds with mean 0, rank 1 is the strongest."""
+    margin = F.log((F.col("wins_a") + SHRINK) / (F.col("wins_b") + SHRINK))
+    pairs = durable(pairs.withColumn("m", margin))
+    sides = F.array(
+        F.struct(F.col("a").alias("item"), F.col("b").alias("other"), F.col("m").alias("m"), F.col("wins_a").alias("wins")),
+        F.struct(F.col("b").alias("item"), F.col("a").alias("other"), (-F.col("m")).alias("m"), F.col("wins_b").alias("wins")),
+    )
+    both = pairs.select(F.inline(sides), (F.col("wins_a") + F.col("wins_b")).alias("games"))
+    weights = both.groupBy("item").agg(F.sum(F.abs("m")).alias("d"), F.sum("games").alias("games"), F.sum("wins").alias("wins"), F.sum("m").alias("total"))
+    items = durable(weights.select("item", "games", "wins", F.when(F.col("d") > 0, 1 / F.sqrt("d")).otherwise(1.0).alias("s"), (F.col("total") + 0.01 * F.pmod(F.xxhash64("item"), F.lit(1009)) / 1009).alias("q0")))
+    count, norm = items.agg(F.count(F.lit(1)), F.sqrt(F.sum(F.col("q0") * F.col("q0") * F.col("s") * F.col("s")))).first()
+    if not count:
+        return items.select("item", F.lit(0.0).alias("strength"), "games", "wins", F.lit(1).alias("rank"))
+    scaled = both.join(items.select(F.col("item").alias("other"), F.col("s").alias("s2")), "other").join(items.select("item", "s"), "item").select("item", "other", (F.col("m") * F.col("s") * F.col("s2")).alias("m"))
+    scaled = durable(scaled).repartition("other").persist()
+    state = items.select("item", "games", "wins", "s", F.array(F.col("q0") * F.col("s") / F.lit(norm or 1.0)).alias("q"))
+    betas: list[float] = []
+    try:
+        while True:
+            k = len(betas)
+            product = scaled.join(state.select(F.col("item").alias("other"), F.get("q", F.lit(k)).alias("x")), "other").groupBy("item").agg(F.sum(F.col("m") * F.col("x")).alias("w"))
+            state = durable(state.join(product, "item", "left").withColumn("w", F.coalesce("w", F.lit(0.0))))
+            inner = F.array(*[F.sum(F.col("w") * F.get("q", F.lit(l))) for l in range(k + 1)])
+            coefficients, square = state.agg(inner, F.sum(F.col("w") * F.col("w"))).first()
+            beta = math.sqrt(max(square - sum(c * c for c in coefficients), 0.0))
+            betas.append(beta)
+            lead = _leading_plane(betas) if k else (np.zeros(1), np.zeros(1), 0.0, 1.0)
+            if beta <= 1e-9 or len(betas) >= min(MAX_STEPS, count) or (k and lead[3] <= TOLERANCE * max(lead[2], 1e-12)):
+                break
+            state = state.select("item", "games", "wins", "s", F.concat("q", F.array((F.col("w") - _dot(np.array(coefficients))) / beta)).alias("q"))
+    finally:
+        scaled.unpersist()
+    plane = state.select("item", "games", "wins", "s", _dot(lead[0]).alias("p1"), _dot(lead[1]).alias("p2"))
+    c1, c2 = plane.agg(F.sum(F.col("p1") / F.col("s")), F.sum(F.col("p2") / F.col("s"))).first()
+    size = math.hypot(c1, c2) or 1.0
+    # u has no constant part in the plane, v is the rest; both are taken back from normalised to plain units
+    plane = durable(plane.select("item", "games", "wins", ((F.col("p2") * c1 - F.col("p1") * c2) / size * F.col("s")).alias("u"), ((F.col("p1") * c1 + F.col("p2") * c2) / size * F.col("s")).alias("v")))
+    ends = pairs.join(plane.select(F.col("item").alias("a"), F.col("u").alias("ua"), F.col("v").alias("va")), "a").join(plane.select(F.col("item").alias("b"), F.col("u").alias("ub"), F.col("v").alias("vb")), "b")
+    gaps = durable(ends.select((F.col("ua") - F.col("ub")).alias("du"), (F.col("va") - F.col("vb")).alias("dv"), "wins_a", "wins_b", "m"))
+    best = _best_direction(gaps, [2 * math.pi * k / DIRECTIONS for k in range(-DIRECTIONS // 2, DIRECTIONS // 2)])
+    best = _best_direction(gaps, [best + 2 * math.pi * k / DIRECTIONS / 10 for k in range(-9, 10)])
+    x = F.col("du") * math.cos(best) + F.col("dv") * math.sin(best)
+    games = F.col("wins_a") + F.col("wins_b")
+    up, down = gaps.agg(F.sum(games * F.col("m") * x), F.sum(games * x * x)).first()
+    unit = up / down if down else 0.0
+    raw = plane.withColumn("raw", (F.col("u") * math.cos(best) + F.col("v") * math.sin(best)) * unit)
+    middle = raw.agg(F.avg("raw")).first()[0]
+    strengths = raw.select("item", (F.col("raw") - F.lit(middle)).alias("strength"), "games", "wins")
+    return _ranked(strengths)
+
+
+def _best_direction(gaps: DataFrame, angles: list[float]) -> float:
+    """The angle whose order agrees with most outcomes; of equals the nearest to 0."""
+    lean = lambda t: F.signum(F.col("du") * math.cos(t) + F.col("dv") * math.sin(t))
+    sums = gaps.agg(*[F.sum(lean(t) * (F.col("wins_a") - F.col("wins_b"))).alias(f"d{k}") for k, t in enumerate(angles)]).first()
+    return max(zip(sums, angles, strict=True), key=lambda x: (x[0] or 0, -abs(x[1])))[1]
+
+
+def _ranked(strengths: DataFrame) -> DataFrame:
+    """Adds rank without moving all rows into one task: ranges are sorted apart and offset by the sizes before them."""
+    ordered = strengths.repartitionByRange(F.col("strength").desc(), F.col("item")).sortWithinPartitions(F.col("strength").desc(), F.col("item"))
+    ordered = durable(ordered.withColumns({"part": F.spark_partition_id(), "place": F.monotonically_increasing_id()}))
+    sizes = {r.part: r.n for r in ordered.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, pairs = 0, []
+    for part in sorted(sizes):
+        pairs += [F.lit(part), F.lit(before)]
+        before += sizes[part]
+    offset = F.element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(0)
+    in_part = F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.select("item", "strength", "games", "wins", (offset + in_part + 1).cast("int").alias("rank"))
+
+
+def rank_teams(matches: DataFrame, teams: DataFrame) -> DataFrame:
+    """(team_name, strength, games, wins, rank): every team of ``teams`` with a counting match, spelled as there."""
+    ranked = spectral_ranking(pair_wins(counted_matches(matches)))
+    names = teams.filter("team_name is not null").groupBy(F.lower(trimmed("team_name")).alias("item")).agg(F.min("team_name").alias("team_name"))
+    return ranked.join(names, "item").select("team_name", "strength", "games", "wins", "rank")
