@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.engine.shared import table
-from tallyspark.llm import leakage, packing
+from tallyspark.llm import leakage, packing, sentences
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
@@ -25,8 +25,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Every sentence, heading and list item of every document."""
+    return sentences.sentence_units(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found}
+    return {"p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
