@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("training",)
+MODULES = ("relational", "training")
 
 
 def _modules():
