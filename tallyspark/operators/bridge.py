@@ -71,18 +71,18 @@ def product_effects(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     gross = F.col("quantity") * F.col("price")
     sums = {"q": F.col("quantity"), "g": gross, "dg": gross * F.col("discount"), "c": F.col("cogs"), "r": residual(), "l": F.col("profit") - F.col("sales") + F.col("cogs"), "f": F.col("profit")}
     cells = rows.groupBy(*keys, "product").agg(*[F.coalesce(F.sum(F.when(F.col("period") == p, e)), F.lit(0.0)).alias(f"{n}{k}") for k, p in enumerate(("base", "current")) for n, e in sums.items()])
-    totals = cells.groupBy(*keys).agg(F.sum("q0").alias("Q0"), F.sum("q1").alias("Q1"))
+    totals = cells.groupBy(*keys).agg(F.sum("q0").alias("total_q0"), F.sum("q1").alias("total_q1"))
     both = cells.join(totals, list(keys)) if keys else cells.crossJoin(totals)
     own = lambda n, d, k: F.try_divide(f"{n}{k}", f"{d}{k}")
     for n, a, b in (("p", "g", "q"), ("d", "dg", "g"), ("u", "c", "q")):
         both = both.withColumns({f"{n}0": F.coalesce(own(a, b, 0), own(a, b, 1), F.lit(0.0)), f"{n}1": F.coalesce(own(a, b, 1), own(a, b, 0), F.lit(0.0))})
     for k in (0, 1):
-        both = both.withColumns({f"s{k}": F.coalesce(F.try_divide(f"q{k}", f"Q{k}"), F.lit(0.0)), f"m{k}": F.col(f"p{k}") * (1 - F.col(f"d{k}")) - F.col(f"u{k}")})
+        both = both.withColumns({f"s{k}": F.coalesce(F.try_divide(f"q{k}", f"total_q{k}"), F.lit(0.0)), f"m{k}": F.col(f"p{k}") * (1 - F.col(f"d{k}")) - F.col(f"u{k}")})
     avg = lambda n: (F.col(f"{n}0") + F.col(f"{n}1")) / 2
     gap = lambda n: F.col(f"{n}1") - F.col(f"{n}0")
-    weight = avg("Q") * avg("s")
+    weight = avg("total_q") * avg("s")
     return both.select(
-        *keys, "product", (gap("Q") * (F.col("s0") * F.col("m0") + F.col("s1") * F.col("m1")) / 2).alias("volume"), (avg("Q") * gap("s") * avg("m")).alias("mix"),
+        *keys, "product", (gap("total_q") * (F.col("s0") * F.col("m0") + F.col("s1") * F.col("m1")) / 2).alias("volume"), (avg("total_q") * gap("s") * avg("m")).alias("mix"),
         (weight * gap("p") * (1 - avg("d"))).alias("price"), (-weight * avg("p") * gap("d")).alias("discount"), (-weight * gap("u")).alias("cost"), gap("r").alias("residual"), gap("l").alias("ledger"), gap("f").alias("delta"),
         weight.alias("weight"), avg("p").alias("price_mid"),
     )

@@ -118,14 +118,14 @@ def discount_drivers(df: DataFrame, base: tuple[str, str], current: tuple[str, s
     gross = F.col("quantity") * F.col("price")
     member = F.col(f"x_{dimension}").cast("string").alias("member")
     cells = rows.groupBy("product", member).agg(*[F.coalesce(F.sum(F.when(F.col("period") == p, e)), F.lit(0.0)).alias(f"{n}{k}") for k, p in enumerate(("base", "current")) for n, e in (("g", gross), ("dg", gross * F.col("discount")))])
-    totals = cells.groupBy(F.col("product").alias("p2")).agg(*[F.sum(f"{n}{k}").alias(f"{n.upper()}{k}") for n in ("g", "dg") for k in (0, 1)])
+    totals = cells.groupBy(F.col("product").alias("p2")).agg(*[F.sum(f"{n}{k}").alias(f"total_{n}{k}") for n in ("g", "dg") for k in (0, 1)])
     scale = B.product_effects(rows).select(F.col("product").alias("p3"), (F.col("weight") * F.col("price_mid")).alias("K"))
     both = cells.join(totals, F.col("product").eqNullSafe(F.col("p2"))).join(scale, F.col("product").eqNullSafe(F.col("p3")))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     # a product that one period doesn't know keeps the other's weights and rates, as in the bridge
     for k, o in ((0, 1), (1, 0)):
-        here = F.col(f"G{k}") != 0
-        both = both.withColumns({f"w{k}": zero(F.when(here, F.try_divide(f"g{k}", f"G{k}")).otherwise(F.try_divide(f"g{o}", f"G{o}"))), f"r{k}": zero(F.coalesce(F.try_divide(f"dg{k}", f"g{k}"), F.try_divide(f"dg{o}", f"g{o}")))})
+        here = F.col(f"total_g{k}") != 0
+        both = both.withColumns({f"w{k}": zero(F.when(here, F.try_divide(f"g{k}", f"total_g{k}")).otherwise(F.try_divide(f"g{o}", f"total_g{o}"))), f"r{k}": zero(F.coalesce(F.try_divide(f"dg{k}", f"g{k}"), F.try_divide(f"dg{o}", f"g{o}")))})
     rate = -F.col("K") * (F.col("w0") + F.col("w1")) / 2 * (F.col("r1") - F.col("r0"))
     structure = -F.col("K") * (F.col("r0") + F.col("r1")) / 2 * (F.col("w1") - F.col("w0"))
     return both.groupBy("member").agg(F.sum(rate).alias("rate_effect"), F.sum(structure).alias("structure_effect")).withColumn("discount_effect", F.col("rate_effect") + F.col("structure_effect"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "training")
+MODULES = ("relational", "analysis", "training")
 
 
 def _modules():
