@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("relational", "analysis", "training")
+MODULES = ("relational", "analysis", "science", "training")
 
 
 def _modules():
