@@ -300,8 +300,8 @@ PROJECTION = "dataset_name string, load_no int, source_name string, column_name
 def compile_projections(catalog: DataFrame, changes: DataFrame) -> DataFrame:
     """(dataset_name, load_no, source_name, column_name, column_type): where each load's column goes.
 
-    A column keeps one name over all loads, its newest; if an unrelated column has that name too, the older one gets the
-    suffix __2, __3 and so on. Its type holds the values of all loads. Groups hold schemas only, never records.
+    A column keeps one name over all loads, its newest, and a name that comes back is the same column; if a rename gives it
+    a name that an earlier column had, that one gets the suffix __2, __3 and so on. Its type holds the values of all loads. Groups hold schemas only, never records.
     """
     specs = counting_registrations(catalog).select("dataset_name", "load_no", F.to_json(F.transform("spec", lambda s: F.struct(s["name"].alias("name"), s["physical_type"].alias("kind")))).alias("spec"))
     renames = changes.filter("change_kind = 'renamed' and instr(old_name, '.') = 0").groupBy("dataset_name", "load_no").agg(F.to_json(F.collect_list(F.struct("old_name", "new_name"))).alias("renames"))
@@ -316,7 +316,7 @@ def compile_projections(catalog: DataFrame, changes: DataFrame) -> DataFrame:
         rows: list[tuple[int, str, int]] = []
         for r in group.itertuples(index=False):
             new_of = {x["old_name"]: x["new_name"] for x in json.loads(r.renames)} if isinstance(r.renames, str) else {}
-            carried = {new_of.get(n, n): k for n, k in at.items()}
+            carried = {n: k for n, k in at.items() if n not in new_of} | {new_of[n]: k for n, k in at.items() if n in new_of}
             now: dict[str, int] = {}
             for c in json.loads(r.spec or "[]"):
                 name = c.get("name")
