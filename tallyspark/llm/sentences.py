@@ -7,8 +7,8 @@ others are inside, which leaves a short lattice per block of text. Blank lines a
 The model scores a tag by features of the place (mark, word before, word behind, gap, state of quotes and brackets) and
 a pair of neighbouring tags by how near they are. It is an averaged structured perceptron fitted at query time on at
 most ``SAMPLE_DOCS`` documents. No labelled text exists, so it learns from silver labels: ``silver_label`` decides each
-place from fixed word lists and from counts over the sample of how words begin sentences where that is certain. For the
-unpunctuated script (Thai) the training text is stripped of punctuation, so that only words and blanks tell.
+place from fixed word lists and from counts over the sample of how words begin sentences where that is certain; that
+opinion is also one of the features, so that combinations the sample lacks fall back on it. For the (Thai) the training text is stripped of punctuation, so that only words and blanks tell.
 
 Documents are tagged where they lie, whole and without a shuffle. Offsets count code points.
 
@@ -59,6 +59,7 @@ _INVISIBLE = regex.compile("[\u200b\u200c\u200d\u2060\u00ad\ufeff]")
 _IDENT = regex.compile(r"[a-z][a-z0-9]*_[a-z0-9_]+")
 _THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\S)|(?<=\S)\s+(?=\p{Thai})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
+_GLUED = regex.compile(r"(?<=[\p{Ll}\d%)])[.!?]+[\"”»’)]*([\p{Lu}][\p{L}\p{N}_.]*)$")
 _STRIP = regex.compile(r"[\p{P}\p{S}]+")
 
 
@@ -76,7 +77,7 @@ class Place:
     def features(self) -> tuple[str, ...]:
         k, b, a, g, q = self.kind, self.before, self.after, self.gap, self.quote
         return (
-            f"{k}|{b}|{a}|{g}|{q}", f"{k}|{b}|{a}|{q}", f"{k}|{a}|{q}", f"{k}|{b}|{a}", f"{k}|{a}|{g}", f"{b}|{a}", f"{q}|{a}", f"k{k}", f"b{b}", f"a{a}", f"g{g}", f"q{q}",
+            f"prior {silver_label(self)}", f"{k}|{b}|{a}|{g}|{q}", f"{k}|{b}|{a}|{q}", f"{k}|{a}|{q}", f"{k}|{b}|{a}", f"{k}|{a}|{g}", f"{b}|{a}", f"{q}|{a}", f"k{k}", f"b{b}", f"a{a}", f"g{g}", f"q{q}",
         )
 
 
@@ -119,19 +120,25 @@ def _paired(text: str) -> list[tuple[int, int, str]]:
     return outer
 
 
+def _unglued(token: str) -> str:
+    """The last word of a token in which the blank behind a sentence is missing."""
+    m = _GLUED.search(token)
+    return m[1] if m and m.start() >= 2 else token
+
+
 def _word_before(text: str, at: int) -> str:
     """The class of what stands before a mark."""
     left = text[max(0, at - 40) : at]
     m = _TOKEN.search(left)
     if not m:
         return "none"
-    token = _INVISIBLE.sub("", m[0]).strip("*_`").lstrip("([（【「『«“„‘\"'¿¡-–")
+    token = _unglued(_INVISIBLE.sub("", m[0])).strip("*_`").lstrip("([（【「『«“„‘\"'¿¡-–")
     token = regex.split("(?<=^[a-zA-Z])['’]", token)[-1]
     low = token.casefold()
     if not token:
         return "none"
     two = left[: m.start()].split()
-    previous = two[-1].casefold() if two else ""
+    previous = _unglued(two[-1]).casefold() if two else ""
     if low in TITLES_AND_REFERENCES:
         return "title"
     if low in OPEN_ENDED:
