@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 
 #: Documents that the model is fitted on, characters of each that are used for it, and passes over them.
 SAMPLE_DOCS, SAMPLE_CHARS, PASSES = 3000, 20_000, 6
+#: Weight of the cascade's opinion before training.
+PRIOR = 4.0
 #: Times that a word must begin a certain sentence in the sample to count as a starter.
 STARTER_COUNT = 2
 
@@ -371,7 +373,7 @@ def fit(texts: list[str]) -> Model:
     starters = learn_starters(texts)
     stripped = [" ".join(_STRIP.sub(" ", line).split()) for t in texts if regex.search(r"\p{Thai}", t) for line in t.splitlines()]
     blocks = [(b.places, [silver_label(q) for q in b.places]) for t in [*texts, *stripped] for b in parse(t, starters) if b.places and not b.item]
-    weights: dict[str, float] = defaultdict(float)
+    weights: dict[str, float] = defaultdict(float, {"prior True": PRIOR, "prior False": -PRIOR})
     pairs: dict[tuple[bool, bool, str], float] = defaultdict(float)
     sums: dict = defaultdict(float)
     model, step = Model(weights, pairs, starters), 1
