@@ -18,7 +18,9 @@ from tallyspark.operators import transform as X
 from tallyspark.plans.base import SALES, sales
 
 Y97, Y98 = ("1997-01-01", "1998-01-01"), ("1998-01-01", "1999-01-01")
-_BASE, _CURRENT = F.year("order_date") == 1997, F.year("order_date") == 1998
+def _years():
+    return F.year("order_date") == 1997, F.year("order_date") == 1998
+
 
 
 def _round(df, places=4, skip=()):
@@ -39,23 +41,23 @@ def eda_quality_score(spark, d):
 
 
 def driver_sum(spark, d):
-    return _round(A.driver_table(sales(spark, d), "sales", ["region"], _BASE, _CURRENT))
+    return _round(A.driver_table(sales(spark, d), "sales", ["region"], *_years()))
 
 
 def driver_count(spark, d):
-    return _round(A.driver_table(sales(spark, d), "sales", ["channel"], _BASE, _CURRENT, "COUNT").drop("contribution"))
+    return _round(A.driver_table(sales(spark, d), "sales", ["channel"], *_years(), "COUNT").drop("contribution"))
 
 
 def driver_path(spark, d):
-    return _round(A.driver_path(sales(spark, d), "sales", ["region", "nation", "channel"], _BASE, _CURRENT))
+    return _round(A.driver_path(sales(spark, d), "sales", ["region", "nation", "channel"], *_years()))
 
 
 def driver_shapley(spark, d):
-    return _round(A.shapley_members(sales(spark, d), "sales", ["region", "channel"], _BASE, _CURRENT))
+    return _round(A.shapley_members(sales(spark, d), "sales", ["region", "channel"], *_years()))
 
 
 def rate_volume(spark, d):
-    return _round(A.rate_volume(sales(spark, d), "channel", "unit_price", "quantity", _BASE, _CURRENT), 3)
+    return _round(A.rate_volume(sales(spark, d), "channel", "unit_price", "quantity", *_years()), 3)
 
 
 def variance_cells(spark, d):
