@@ -133,55 +133,76 @@ def _bound(comment: Column, group: int) -> Column:
     return F.when(text != "", text)
 
 
+def _statements() -> Column:
+    """What the registration's comments state, by column: a pattern, or bounds as text and as numbers."""
+    listed = F.transform("spec", lambda s: s["name"])
+    first = F.filter("spec", lambda s, i: s["name"].isNotNull() & (F.array_position(listed, s["name"]) == i + 1))
+    stated = F.filter(first, lambda s: s["comment"].startswith("pattern ") | s["comment"].startswith("range "))
+
+    def one(s: Column) -> Column:
+        pattern = F.regexp_extract(s["comment"], r"^pattern\s+(.*)$", 1)
+        low, high = _bound(s["comment"], 1), _bound(s["comment"], 2)
+        return F.struct(
+            F.when(pattern != "", F.concat(F.lit("^(?:"), pattern, F.lit(")$"))).alias("pattern"), low.alias("low"), high.alias("high"),
+            low.try_cast("double").alias("low_number"), high.try_cast("double").alias("high_number"),
+        )
+
+    return F.map_from_entries(F.transform(stated, lambda s: F.struct(s["name"], one(s))))
+
+
 def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """A profile of every listed column of every load of the datasets that ``rows`` hold.
 
     Columns: dataset_name, load_no, column_name, semantic_type, is_nullable, row_count (declared), n_rows, n_null,
-    n_distinct, min_value, max_value (text), mean, deviation (population), entropy (nats), out_of_range,
-    off_pattern, shift (half the sum of share differences against the load before), and prev_* figures of that load.
+    n_distinct, min_value, max_value (of numbers and dates), min_length, max_length (of other text), mean, deviation
+    (population), entropy (nats), n_off (rows that break the comment, by rule ``off_rule``: pattern or range), shift (half
+    the sum of share differences against the load before), filled, and prev_* figures of that load.
+
+    The replayed table after a load is that load's counts, so figures come straight from them; only the shift of
+    categorical columns looks at deltas, and only their few values are replayed for it.
     """
     kinds = dict(rows.dtypes)
     names = columns or [c for c in rows.columns if c not in (*KEY, "loaded_at")]
     numeric = [c for c in names if kinds[c].startswith("decimal") or kinds[c] in NUMERIC_TYPES]
+    dates = [c for c in names if kinds[c] == "date"]
     registered = counting_registrations(catalog)
-    listed = F.transform("spec", lambda s: s["name"])
-    first = F.filter("spec", lambda s, i: s["name"].isNotNull() & (F.array_position(listed, s["name"]) == i + 1))
-    stated = F.filter(first, lambda s: s["comment"].startswith("pattern "))
-    patterns = F.map_from_entries(F.transform(stated, lambda s: F.struct(s["name"], F.regexp_extract(s["comment"], r"^pattern\s+(.*)$", 1))))
     # one condition per column, so each keeps its compiled pattern from row to row
-    marks = {
-        c: F.col(f"`{c}`").isNotNull() & ~F.regexp_like(F.col(f"`{c}`").cast("string"), F.concat(F.lit("^(?:"), F.element_at("_patterns", c), F.lit(")$")))
-        for c in names
-    }
-    counts = value_counts(rows.select(*KEY, *names).join(registered.select(*KEY, patterns.alias("_patterns")), list(KEY), "left"), names, marks)
-    state = maintained_history(counts)
-    filled = (F.col("n") > 0) & F.col("value").isNotNull()
+    marks = {}
+    for c in names:
+        x, said = F.col(f"`{c}`"), F.element_at("_stated", c)
+        ends = (x < said["low_number"]) | (x > said["high_number"]) if c in numeric else (x.cast("string") < said["low"]) | (x.cast("string") > said["high"])
+        marks[c] = x.isNotNull() & (F.coalesce(~F.regexp_like(x.cast("string"), said["pattern"]), F.lit(False)) | F.coalesce(ends, F.lit(False)))
+    stated = registered.select(*KEY, _statements().alias("_stated"))
+    joined = rows.select(*KEY, *names).join(stated, list(KEY), "left")
+    # the join's partitioning by load is hidden, else the counts of a hot load would stay in one task; so AQE may split it
+    counts = value_counts(joined.withColumn("dataset_name", F.concat("dataset_name", F.lit(""))), names, marks)
+    value = F.col("value")
+    of = lambda own, c: F.when(F.col("column_name").isin(*own), c) if own else F.lit(None).cast("double")
+    number = F.coalesce(of(numeric, value.try_cast("double")), of(dates, F.unix_date(value.try_cast("date")).cast("double")))
+    measured = of(numeric, value.try_cast("double"))
+    n = F.when(value.isNotNull(), F.col("n"))
+    length = F.when(F.col("column_name").isin(*[c for c in names if c not in numeric and c not in dates] or [""]), F.length("value"))
+    # all buffers are numbers, so this stays a hash aggregate
+    figures = counts.groupBy(*KEY, "column_name").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count(n).alias("n_distinct"),
+        F.min(number).alias("low"), F.max(number).alias("high"), F.min(length).alias("min_length"), F.max(length).alias("max_length"),
+        F.sum(n * measured).alias("total"), F.sum(n * measured * measured).alias("squares"), F.sum(n * F.log(n)).alias("nlogn"),
+        F.coalesce(F.sum(F.when(F.col("marked"), F.col("n"))), F.lit(0)).alias("n_off"),
+    ).withColumn("filled", F.col("n_rows") - F.col("n_null"))
+    flat = F.col("low") == F.col("high")
     is_number = F.col("column_name").isin(*numeric) if numeric else F.lit(False)
-    number = F.when(is_number, F.col("value").try_cast("double"))
-    n = F.when(filled, F.col("n"))
-    figures = state.groupBy(*KEY, "column_name").agg(
-        F.sum("n").alias("n_rows"),
-        F.coalesce(F.sum(F.when(F.col("value").isNull(), F.col("n"))), F.lit(0)).alias("n_null"),
-        F.count(n).alias("n_distinct"),
-        F.min(F.when(filled & ~is_number, F.col("value"))).alias("min_text"), F.max(F.when(filled & ~is_number, F.col("value"))).alias("max_text"),
-        F.min(F.when(filled, number)).alias("min_number"), F.max(F.when(filled, number)).alias("max_number"),
-        F.sum(n * number).alias("total"), F.sum(n * number * number).alias("squares"),
-        F.sum(n * F.log(n)).alias("nlogn"),
-        F.coalesce(F.sum(F.when(F.col("marked"), F.col("n"))), F.lit(0)).alias("off_pattern"),
-    ).filter("n_rows > 0")
-    figures = figures.withColumn("filled", F.col("n_rows") - F.col("n_null"))
-    flat = F.col("min_number") == F.col("max_number")
-    mean = F.when(flat, F.col("min_number")).otherwise(F.try_divide("total", "filled"))
     variance = F.try_divide(F.col("squares") - F.try_divide(F.col("total") * F.col("total"), F.col("filled")), F.col("filled"))
-    figures = figures.withColumns({
-        "mean": mean,
-        "deviation": F.when(flat, F.lit(0.0)).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))),
-        "entropy": F.when(F.col("filled") > 0, F.greatest(F.log("filled") - F.col("nlogn") / F.col("filled"), F.lit(0.0))).otherwise(0.0),
-    })
-    figures = durable(figures.select(*KEY, "column_name", "n_rows", "n_null", "filled", "n_distinct", "min_text", "max_text", "min_number", "max_number", "mean", "deviation", "entropy", "off_pattern"))
+    shown = lambda c: F.when(is_number, F.col(c).cast("string")).otherwise(F.date_from_unix_date(F.col(c).cast("int")).cast("string"))
+    figures = durable(figures.select(
+        *KEY, "column_name", "n_rows", "n_null", "filled", "n_distinct", shown("low").alias("min_value"), shown("high").alias("max_value"), "min_length", "max_length",
+        # equal values have exactly their mean and no spread, whatever their sums round to
+        F.when(is_number, F.when(flat, F.col("low")).otherwise(F.try_divide("total", "filled"))).alias("mean"),
+        F.when(is_number, F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))).alias("deviation"),
+        F.when(F.col("filled") > 0, F.greatest(F.log("filled") - F.col("nlogn") / F.col("filled"), F.lit(0.0))).otherwise(0.0).alias("entropy"), "n_off",
+    ))
 
     specs = registered.select(*KEY, "row_count", F.explode("spec").alias("s")).select(
-        *KEY, "row_count", F.col("s.name").alias("column_name"), F.col("s.semantic_type").alias("semantic_type"), F.col("s.is_nullable").alias("is_nullable"), F.col("s.comment").alias("comment")
+        *KEY, "row_count", F.col("s.name").alias("column_name"), F.col("s.semantic_type").alias("semantic_type"), F.col("s.is_nullable").alias("is_nullable"), F.regexp_extract("s.comment", r"^(pattern|range)\s", 1).alias("off_rule")
     ).dropDuplicates([*KEY, "column_name"])
     prev = figures.select(
         "dataset_name", (F.col("load_no") + 1).cast("int").alias("load_no"), "column_name",
@@ -189,20 +210,18 @@ def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = Non
     )
     at = [*KEY, "column_name"]
     both = specs.join(figures, at).join(prev, at, "left")
-    # shares need the totals of both loads; only categorical columns pay for this second pass over maintained counts
+    here = rows.select("dataset_name").distinct()
+    categories = registered.join(here, "dataset_name", "left_semi").select(F.explode("spec").alias("s")).filter("s.semantic_type = 'DIMENSION_CATEGORICAL'").select("s.name").distinct().filter(F.col("name").isin(*names))
+    known = sorted(r.name for r in categories.collect())  # at most the columns of the table
     shares = both.filter("semantic_type = 'DIMENSION_CATEGORICAL' and filled > 0 and prev_filled > 0").select(*at, "filled", "prev_filled")
-    shift = (
-        state.filter("value is not null").join(shares, at)
-        .groupBy(*at).agg((F.sum(F.abs(F.col("n") / F.col("filled") - F.col("before") / F.col("prev_filled"))) / 2).alias("shift"))
-    )
-    low, high = _bound(F.col("comment"), 1), _bound(F.col("comment"), 2)
-    outside = F.when(
-        F.col("min_number").isNotNull(), (F.col("min_number") < low.try_cast("double")) | (F.col("max_number") > high.try_cast("double"))
-    ).otherwise((F.col("min_text") < low) | (F.col("max_text") > high))
+    if known:
+        replayed = maintained_history(value_counts(rows, known)).filter("value is not null")
+        moved = F.abs(F.col("n") / F.col("filled") - F.col("before") / F.col("prev_filled"))
+        shift = replayed.join(shares, at).groupBy(*at).agg((F.sum(moved) / 2).alias("shift"))
+    else:
+        shift = shares.select(*at, F.lit(0.0).alias("shift")).limit(0)
     return both.join(shift, at, "left").select(
-        *at, "semantic_type", "is_nullable", "row_count", "n_rows", "n_null", "n_distinct",
-        F.coalesce(F.col("min_number").cast("string"), "min_text").alias("min_value"), F.coalesce(F.col("max_number").cast("string"), "max_text").alias("max_value"),
-        "mean", "deviation", "entropy", F.coalesce(outside, F.lit(False)).alias("out_of_range"), "off_pattern", "shift",
+        *at, "semantic_type", "is_nullable", "row_count", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_length", "max_length", "mean", "deviation", "entropy", "off_rule", "n_off", "shift",
         "filled", "prev_n_rows", "prev_n_null", "prev_filled", "prev_n_distinct", "prev_mean", "prev_deviation",
     )
 
@@ -214,8 +233,8 @@ def findings(profiles: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFr
     gap = F.abs(F.col("n_null") * F.col("prev_n_rows") - F.col("prev_n_null") * F.col("n_rows")) * 100
     tests = {
         "null_in_required": ~F.col("is_nullable") & (F.col("n_null") > 0),
-        "range": F.col("out_of_range"),
-        "pattern": F.col("off_pattern") > 0,
+        "range": (F.col("off_rule") == "range") & (F.col("n_off") > 0),
+        "pattern": (F.col("off_rule") == "pattern") & (F.col("n_off") > 0),
         "null_share": gap > per_hundred * F.col("n_rows") * F.col("prev_n_rows"),
         "mix": F.col("shift") > MIX_LIMIT,
         "level": (F.col("semantic_type") == "MEASURE") & both & (F.abs(F.col("mean") - F.col("prev_mean")) > F.col("prev_deviation")),
