@@ -5,10 +5,11 @@ marks with the closers behind them, and blanks in a script that writes sentences
 others are inside, which leaves a short lattice per block of text. Blank lines and list markers fix tags beforehand.
 
 The model scores a tag by features of the place (mark, word before, word behind, gap, state of quotes and brackets) and
-a pair of neighbouring tags by how near they are. It is an averaged structured perceptron fitted at query time on at
-most ``SAMPLE_DOCS`` documents. No labelled text exists, so it learns from silver labels: ``silver_label`` decides each
-place from fixed word lists and from counts over the sample of how words begin sentences where that is certain; that
-opinion is also one of the features, so that combinations the sample lacks fall back on it. For the (Thai) the training text is stripped of punctuation, so that only words and blanks tell.
+a pair of neighbouring tags by how near they are. It is an averaged structured perceptron with a margin, fitted at query
+time on at most ``SAMPLE_DOCS`` documents. No labelled text exists, so it learns from silver labels: ``silver_label``
+decides each place from fixed word lists and from counts over the sample of how words begin sentences where that is
+certain; that opinion is also one of the features, so that combinations the sample lacks fall back on it. For the
+unpunctuated script (Thai) the training text is stripped of punctuation, so that only words and blanks tell.
 
 Documents are tagged where they lie, whole and without a shuffle. Offsets count code points.
 
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 #: Documents that the model is fitted on, characters of each that are used for it, and passes over them.
 SAMPLE_DOCS, SAMPLE_CHARS, PASSES = 3000, 20_000, 6
-#: Weight of the cascade's opinion before training.
-PRIOR = 4.0
+#: Value of the feature that holds the cascade's opinion (all others have 1), and the margin that training asks for.
+PRIOR, MARGIN = 3.0, 2.0
 #: Times that a word must begin a certain sentence in the sample to count as a starter.
 STARTER_COUNT = 2
 
@@ -48,10 +49,14 @@ BEFORE_RANK = frozenset("am vom im zum dem den der des bis seit ab beim und".spl
 
 PAIRS = {"(": ")", "[": "]", "（": "）", "【": "】", "「": "」", "『": "』", "«": "»", "“": "”", "„": "“", "《": "》", "‹": "›"}
 BRACKETS = "([（【"
+_ENDS = frozenset(PAIRS.values())
+_PAIR_MARKS = regex.compile("[" + regex.escape("".join({*PAIRS, *PAIRS.values(), '"', "`"})) + "]")
 CLOSERS = ")]）】」』»”“\"’›"
 OPENERS = "([（【「『«“„‘\"¿¡‹'《〈"
 CJK_MARKS, DANDA = "。！？｡︕︖", "।॥։።។။"
 _TERMINAL = regex.compile(rf"(?:[.!?…؟‽۔{CJK_MARKS}{DANDA}．]+)(?:[   ]?[{regex.escape(CLOSERS)}]|[*_]{{1,3}}(?=\s|$))*")
+_MARKS = regex.compile(rf"[^\s*_{regex.escape(CLOSERS)}]+")
+_THAI_LETTER = regex.compile(r"\p{Thai}")
 _BLANK_LINE = regex.compile(r"(?:\r\n|\r|\n| )[^\S\r\n]*(?:(?:\r\n|\r|\n| )[^\S\r\n]*)+| ")
 _LINE = regex.compile(r"\r\n|\r|\n| ")
 _MARKER = regex.compile(r"[^\S\r\n]*(?:(?P<b>[-*•–·▪‣●○◦])[^\S\r\n]+|(?P<n>\d{1,3})[.)、）][^\S\r\n]*(?![\d])|(?P<p>[(（]\d{1,2}[)）])[^\S\r\n]*|(?P<l>[a-z])\)[^\S\r\n]+)(?=\S)")
@@ -96,7 +101,9 @@ class Block:
 def _paired(text: str) -> list[tuple[int, int, str]]:
     """(open, close, opener) of the outermost balanced quotes and brackets."""
     out, stack, straight = [], [], None
-    for k, c in enumerate(text):
+    last = {}
+    for m in _PAIR_MARKS.finditer(text):
+        k, c = m.start(), m[0]
         if c in "\"`":
             if straight and straight[1] == c:
                 out.append((straight[0], k, c))
@@ -106,9 +113,9 @@ def _paired(text: str) -> list[tuple[int, int, str]]:
         elif stack and c == PAIRS[stack[-1][1]]:
             o, opener = stack.pop()
             out.append((o, k, opener))
-        elif c in PAIRS and PAIRS[c] in text[k + 1 :]:
+        elif c in PAIRS and last.setdefault(c, text.rfind(PAIRS[c])) > k:
             stack.append((k, c))
-        elif c in ")]）】」』»”":  # close an opener further out, if there is one
+        elif c in _ENDS:  # close an opener further out, if there is one
             for d in range(len(stack) - 1, -1, -1):
                 if PAIRS[stack[d][1]] == c:
                     out.append((stack[d][0], k, stack[d][1]))
@@ -135,7 +142,8 @@ def _word_before(text: str, at: int) -> str:
     if not m:
         return "none"
     token = _unglued(_INVISIBLE.sub("", m[0])).strip("*_`").lstrip("([（【「『«“„‘\"'¿¡-–")
-    token = regex.split("(?<=^[a-zA-Z])['’]", token)[-1]
+    if len(token) > 2 and token[1] in "'’" and token[0].isalpha():  # an elided article
+        token = token[2:]
     low = token.casefold()
     if not token:
         return "none"
@@ -237,7 +245,7 @@ def parse(text: str, starters: frozenset[str]) -> list[Block]:
         p = 0
         marks = []
         for m in _TERMINAL.finditer(text, start, end):
-            body = regex.match(rf"[^\s*_{regex.escape(CLOSERS)}]+", m[0])[0]
+            body = _MARKS.match(m[0])[0]
             stop, close = m.start() + len(body), m.end()
             # closers that open the next quote don't belong to this mark
             while close > stop and text[close - 1] in "“\"" and any(start + o == close - 1 for o, _, _ in pairs):
@@ -263,7 +271,7 @@ def parse(text: str, starters: frozenset[str]) -> list[Block]:
             a, b = text[m.start() - 1], text[m.end()]
             if any(q.end == m.start() for q in marks):
                 continue
-            kinds = ["thai" if regex.match(r"\p{Thai}", c) else "latin" if c.isalnum() else "other" for c in (a, b)]
+            kinds = ["thai" if _THAI_LETTER.match(c) else "latin" if c.isalnum() else "other" for c in (a, b)]
             held = any(start + o < m.start() < start + c for o, c, _ in pairs)
             blanks.append(Place(m.start(), "blank", kinds[0], kinds[1], "line" if _LINE.search(m[0]) else "space", "inside" if held else "none"))
         block.places = sorted(marks + blanks, key=lambda q: q.end)
@@ -333,21 +341,29 @@ class Model:
     weights: dict[str, float]
     pairs: dict[tuple[bool, bool, str], float]
     starters: frozenset[str]
+    scores: dict[tuple[str, ...], float] = field(default_factory=dict, repr=False, compare=False)
 
-    def decode(self, places: list[Place]) -> list[bool]:
-        """The best tags of a block's places (Viterbi)."""
+    def score(self, q: Place) -> float:
+        """The boundary tag's score; places of the same classes share it."""
+        key = (q.kind, q.before, q.after, q.gap, q.quote)
+        if key not in self.scores:
+            self.scores[key] = sum(self.weights.get(f, 0.0) * _value(f) for f in q.features())
+        return self.scores[key]
+
+    def decode(self, places: list[Place], gold: list[bool] | None = None) -> list[bool]:
+        """The best tags of a block's places (Viterbi); in training, wrong tags are favoured by the margin."""
         if not places:
             return []
-        get, pairs = self.weights.get, self.pairs
+        pairs = self.pairs
         best = {True: 0.0, False: 0.0}
         back: list[dict[bool, bool]] = []
         previous = None
-        for q in places:
-            score = sum(get(f, 0.0) for f in q.features())
+        for k, q in enumerate(places):
+            score = self.score(q)
             near = _distance(previous, q)
             row, now = {}, {}
             for tag in (False, True):
-                own = score if tag else -score
+                own = (score if tag else -score) + (MARGIN if gold is not None and tag != gold[k] else 0.0)
                 if previous is None:
                     now[tag] = own
                 else:
@@ -363,6 +379,10 @@ class Model:
         return out[::-1]
 
 
+def _value(feature: str) -> float:
+    return PRIOR if feature.startswith("prior") else 1.0
+
+
 def _distance(a: Place | None, b: Place) -> str:
     return "" if a is None else "near" if b.end - a.end <= 4 else "far"
 
@@ -373,22 +393,23 @@ def fit(texts: list[str]) -> Model:
     starters = learn_starters(texts)
     stripped = [" ".join(_STRIP.sub(" ", line).split()) for t in texts if regex.search(r"\p{Thai}", t) for line in t.splitlines()]
     blocks = [(b.places, [silver_label(q) for q in b.places]) for t in [*texts, *stripped] for b in parse(t, starters) if b.places and not b.item]
-    weights: dict[str, float] = defaultdict(float, {"prior True": PRIOR, "prior False": -PRIOR})
+    weights: dict[str, float] = defaultdict(float)
     pairs: dict[tuple[bool, bool, str], float] = defaultdict(float)
     sums: dict = defaultdict(float)
     model, step = Model(weights, pairs, starters), 1
     for _ in range(PASSES):
         wrong = 0
         for places, gold in blocks:
-            guess = model.decode(places)
+            guess = model.decode(places, gold)
             if guess != gold:
                 wrong += 1
+                model.scores.clear()
                 for k, q in enumerate(places):
                     if guess[k] != gold[k]:
                         sign = 1.0 if gold[k] else -1.0
                         for f in q.features():
-                            weights[f] += sign
-                            sums[f] += sign * step
+                            weights[f] += sign * _value(f)
+                            sums[f] += sign * _value(f) * step
                     if k:
                         near = _distance(places[k - 1], q)
                         for tags, sign in ((gold, 1.0), (guess, -1.0)):
@@ -427,9 +448,15 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def fit_on(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """A model fitted on at most ``sample`` documents, chosen by a hash of their ids."""
-    rows = documents.filter("text is not null").select(F.xxhash64("doc_id").alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
-    return fit([r.text for r in rows.orderBy("h", "doc_id").limit(sample).select("text").collect()])
+    """A model fitted on at most ``sample`` documents, those of least hash of id.
+
+    The hash is cut off where about twice the sample is expected, so what reaches the driver doesn't grow with the table.
+    """
+    n = documents.filter("text is not null").count()
+    rows = documents.filter("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    if n > 2 * sample:
+        rows = rows.filter(F.col("h") < int((1 << 32) * 2 * sample / n))
+    return fit([r.text for r in sorted(rows.limit(4 * sample).collect(), key=lambda r: (r.h, r.doc_id or 0, r.text))[:sample]])
 
 
 def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -103,6 +103,7 @@ def test_viterbi_against_all_taggings():
     class Place:
         def __init__(self, end, f):
             self.end, self.f = end, f
+            self.kind, self.before, self.after, self.gap, self.quote = "".join(f), "", "", "", ""
 
         def features(self):
             return self.f
