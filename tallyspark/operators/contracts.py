@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.engine.guard import columns, quoted
 from tallyspark.engine.types import finite, period_start
+from tallyspark.functions.quantiles import exact_quantiles
 from tallyspark.operators.relational import matching, top_with_remainder
 
 KINDS = ("sum", "ratio", "distinct_count", "closing_balance")
@@ -195,12 +196,13 @@ def flagged(frame: Frame, column: str, method: str = "mad", threshold: float | N
         stats = ref.groupBy("_cohort").agg(F.avg("_x").alias("_m"), F.stddev_pop("_x").alias("_s"))
         score = lambda: F.abs(F.col("_x") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     elif method == "iqr":
-        q = ref.groupBy("_cohort").agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+        q = exact_quantiles(ref, {"_cohort": F.col("_cohort")}, F.col("_x"), [0.25, 0.75])
         stats = q.select("_cohort", F.col("q")[0].alias("_m"), F.col("q")[1].alias("_h"), (F.col("q")[1] - F.col("q")[0]).alias("_s"))
         score = lambda: F.greatest(F.col("_m") - F.col("_x"), F.col("_x") - F.col("_h"), F.lit(0.0)) / F.nullif(F.col("_s"), F.lit(0.0))
     elif method == "mad":
-        mid = ref.groupBy("_cohort").agg(F.median("_x").alias("_m"))
-        stats = ref.join(mid.withColumnRenamed("_cohort", "_c"), F.col("_cohort").eqNullSafe(F.col("_c"))).groupBy("_cohort").agg(F.first("_m").alias("_m"), F.median(F.abs(F.col("_x") - F.col("_m"))).alias("_s"))
+        mid = exact_quantiles(ref, {"_cohort": F.col("_cohort")}, F.col("_x"), [0.5]).select(F.col("_cohort").alias("_c"), F.col("q")[0].alias("_m"))
+        far = exact_quantiles(ref.join(mid, F.col("_cohort").eqNullSafe(F.col("_c"))), {"_cohort": F.col("_cohort")}, F.abs(F.col("_x") - F.col("_m")), [0.5])
+        stats = far.join(mid, F.col("_cohort").eqNullSafe(F.col("_c"))).select("_cohort", "_m", F.col("q")[0].alias("_s"))
         score = lambda: 0.67449 * F.abs(F.col("_x") - F.col("_m")) / F.nullif(F.col("_s"), F.lit(0.0))
     else:
         raise ContractError("methods are zscore, iqr and mad")

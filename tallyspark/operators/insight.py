@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallyspark.engine import types as semantics
 from tallyspark.engine.guard import columns, quoted
 from tallyspark.functions import tails
+from tallyspark.functions.quantiles import exact_quantiles
 from tallyspark.operators import stats
 
 
@@ -25,7 +26,7 @@ def outliers(df: DataFrame, column: str, method: str = "z_score", threshold: flo
         score = F.abs(x - F.lit(m[0])) / F.lit(m[1] or 1.0) if m[0] is not None else F.lit(None).cast("double")
         hit = score >= threshold
     elif method == "iqr":
-        q = df.select(x.alias("x")).agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.75)))).first()[0] or [None, None]
+        q = next((r.q for r in exact_quantiles(df, {}, x, [0.25, 0.75]).collect()), [None, None])
         if q[0] is None:
             score = F.lit(None).cast("double")
         else:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.engine.guard import columns, quoted
+from tallyspark.engine.shared import durable
+from tallyspark.functions.quantiles import exact_quantiles
 
 #: Buckets of one series that a forecast reads on the driver.
 MAX_BUCKETS = 100_000
@@ -48,7 +50,11 @@ def rfm(df: DataFrame, customer: str, day: str, order: str, amount: str, as_of:
     per = df.filter(F.col(quoted(customer)).isNotNull()).groupBy(F.col(quoted(customer)).alias("customer")).agg(
         F.datediff(F.lit(as_of).cast("date"), F.max(F.col(quoted(day)).try_cast("date"))).alias("recency"), F.count_distinct(F.col(quoted(order))).alias("frequency"), F.sum(F.col(quoted(amount)).try_cast("double")).alias("monetary")
     )
-    q = per.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{c}") for c in ("recency", "frequency", "monetary")])
+    per = durable(per)
+    q = None
+    for c in ("recency", "frequency", "monetary"):
+        one = exact_quantiles(per, {}, F.col(c).cast("double"), [0.25, 0.5, 0.75]).select(F.col("q").alias(f"q_{c}"))
+        q = one if q is None else q.crossJoin(one)  # single rows
     below = lambda c, op: sum((F.when(op(F.col(f"q_{c}")[i], F.col(c)), 1).otherwise(0) for i in range(3)), F.lit(0))
     both = per.crossJoin(q)
     scored = both.select("customer", "recency", "frequency", "monetary", (5 - below("recency", lambda a, x: a <= x)).alias("r"), (1 + below("frequency", lambda a, x: a <= x)).alias("f"), (1 + below("monetary", lambda a, x: a <= x)).alias("m"))

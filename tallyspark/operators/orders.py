@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.engine.guard import quoted
 from tallyspark.engine.types import period_start
+from tallyspark.functions.quantiles import exact_quantiles
 from tallyspark.operators import bridge as B
 from tallyspark.operators.contracts import ContractError
 
@@ -62,10 +63,11 @@ def order_classes(df: DataFrame, base: tuple[str, str], current: tuple[str, str]
     the change.
     """
     rows = B.periods((roles or B.Roles()).frame(df), base, current)
-    q = lambda c: F.percentile(c, F.array(F.lit(0.25), F.lit(0.75)))
-    fence = lambda a: a[1] + 1.5 * (a[1] - a[0])
-    reference = rows.filter("period = 'base'").groupBy(F.col("product").alias("p2")).agg(F.count("discount").alias("known"), fence(q("discount")).alias("limit"))
-    sizes = rows.filter("period = 'base'").groupBy("order").agg(F.sum("sales").alias("s")).agg(fence(q("s")).alias("size_limit"))
+    old, quarters = rows.filter("period = 'base'"), [0.25, 0.75]
+    fence = F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
+    known = old.groupBy(F.col("product").alias("p1")).agg(F.count("discount").alias("known"))
+    reference = exact_quantiles(old, {"p2": F.col("product")}, F.col("discount"), quarters).select("p2", fence.alias("limit")).join(known, F.col("p1").eqNullSafe(F.col("p2")))
+    sizes = exact_quantiles(old.groupBy("order").agg(F.sum("sales").alias("s")), {}, F.col("s"), quarters).select(fence.alias("size_limit"))
     lines = rows.join(reference, F.col("product").eqNullSafe(F.col("p2")), "left")
     limit = F.lit(discount_threshold) if discount_threshold is not None else F.when(F.col("known") >= min_reference_rows, F.col("limit"))
     marks = lines.groupBy("order", "period").agg(

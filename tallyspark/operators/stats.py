@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.engine.guard import columns, quoted
 from tallyspark.functions import tails
+from tallyspark.functions.quantiles import exact_quantiles
 
 #: Groups of a test, cells of a cross table, and regressors at most: their statistics are finished on the driver.
 MAX_GROUPS, MAX_CELLS, MAX_REGRESSORS = 10_000, 200_000, 40
@@ -118,17 +119,16 @@ def simpson(df: DataFrame, group: str, names: list[str]) -> DataFrame:
 def _groups(df: DataFrame, value: str, group: str) -> tuple[DataFrame, list]:
     columns(df, [value, group])
     rows = df.select(F.col(quoted(group)).cast("string").alias("g"), F.col(quoted(value)).try_cast("double").alias("y")).dropna().filter(~F.isnan("y"))
-    stats = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var"), F.median("y").alias("median")).limit(MAX_GROUPS + 1).collect()
+    stats = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"), F.var_samp("y").alias("var")).limit(MAX_GROUPS + 1).collect()
     if len(stats) > MAX_GROUPS:
         raise ValueError(f"more than {MAX_GROUPS} groups")
     return rows, sorted(stats, key=lambda r: r.g)
 
 
-def _levene(rows: DataFrame, stats: list) -> float:
+def _levene(rows: DataFrame) -> float:
     """The p-value of equal variances, from deviations from group medians."""
-    spark = rows.sparkSession
-    mid = spark.createDataFrame([(s.g, s.median) for s in stats], "g string, m double")
-    z = rows.join(F.broadcast(mid), "g").select("g", F.abs(F.col("y") - F.col("m")).alias("z"))
+    mid = exact_quantiles(rows, {"g": F.col("g")}, F.col("y"), [0.5]).select("g", F.col("q")[0].alias("m"))
+    z = rows.join(mid, "g").select("g", F.abs(F.col("y") - F.col("m")).alias("z"))
     cells = z.groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.avg("z").alias("m"), F.coalesce(F.var_samp("z"), F.lit(0.0)).alias("v")).collect()
     n, k = sum(c.n for c in cells), len(cells)
     grand = sum(c.n * c.m for c in cells) / n
@@ -144,7 +144,7 @@ def t_test(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> dict:
     if len(g) != 2 or min(s.n for s in g) < 2:
         raise ValueError("a t test has two groups of at least two values")
     a, b = g
-    equal = _levene(rows, g) > 0.05
+    equal = _levene(rows) > 0.05
     pooled = math.sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2))
     if equal:
         se, df_ = pooled * math.sqrt(1 / a.n + 1 / b.n), a.n + b.n - 2
