@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.engine.guard import columns, quoted
+from tallyspark.engine.shared import durable
 from tallyspark.functions import tails
 from tallyspark.functions.quantiles import exact_quantiles
 
@@ -41,9 +42,11 @@ def _centred(rows: DataFrame, k: int) -> DataFrame:
 
 def _r(row, i: int, j: int) -> tuple[float, float]:
     n = row["n"]
+    if n < 3:
+        return 0.0, 1.0
     sxy = row[f"p{i}_{j}"] - row[f"s{i}"] * row[f"s{j}"] / n
     sxx, syy = row[f"p{i}_{i}"] - row[f"s{i}"] ** 2 / n, row[f"p{j}_{j}"] - row[f"s{j}"] ** 2 / n
-    if n < 3 or sxx <= 1e-300 or syy <= 1e-300:
+    if sxx <= 1e-300 or syy <= 1e-300:
         return 0.0, 1.0
     r = max(-1.0, min(1.0, sxy / math.sqrt(sxx * syy)))
     if abs(r) >= 0.999999:
@@ -70,23 +73,23 @@ def correlation(df: DataFrame, names: list[str], method: str = "pearson") -> Dat
 
 
 def ranks(values: DataFrame, value: str = "value") -> DataFrame:
-    """(value, n, before): distinct values with their counts and how many rows lie before, over sorted ranges.
+    """(value, n, before, sum_before): distinct values, their counts, and how many rows, and what sum, lie before them.
 
-    The running count is taken inside range partitions and offset by the sizes of those before them.
+    The running figures are taken inside range partitions and offset by those of the ranges before.
     """
     counts = values.groupBy(value).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange(value).withColumn("part", F.spark_partition_id())
-    from tallyspark.engine.shared import durable
-
-    parts = durable(parts)
-    sizes = sorted((r.part, r.n) for r in parts.groupBy("part").agg(F.sum("n").alias("n")).collect())
-    at, offsets = 0, []
-    for part, n in sizes:
-        offsets += [F.lit(part), F.lit(at)]
-        at += n
+    parts = durable(counts.repartitionByRange(value).withColumn("part", F.spark_partition_id()))
+    numeric = dict(values.dtypes)[value] in ("double", "float", "int", "bigint")
+    mass = F.col(value).cast("double") * F.col("n") if numeric else F.lit(0.0)
+    sizes = sorted((r.part, r.n, r.s) for r in parts.groupBy("part").agg(F.sum("n").alias("n"), F.sum(mass).alias("s")).collect())
+    rows, total, offsets, sums = 0, 0.0, [], []
+    for part, n, s in sizes:
+        offsets += [F.lit(part), F.lit(rows)]
+        sums += [F.lit(part), F.lit(total)]
+        rows, total = rows + n, total + s
     w = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.element_at(F.create_map(*offsets), F.col("part")) if offsets else F.lit(0)
-    return parts.select(value, "n", (offset + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("before"))
+    at = lambda pairs, zero: F.element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(zero)
+    return parts.select(value, "n", (at(offsets, 0) + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("before"), (at(sums, 0.0) + F.coalesce(F.sum(mass).over(w), F.lit(0.0))).alias("sum_before"))
 
 
 def rank_columns(rows: DataFrame, k: int, averaged: bool = False) -> DataFrame:
@@ -309,9 +312,11 @@ def ols(df: DataFrame, target: str, features: list[str], order: str | None = Non
     m = e.agg(F.skewness("e").alias("s"), F.kurtosis("e").alias("k")).first() if sse > 0 else None
     jb = n / 6 * (m.s**2 + m.k**2 / 4) if m else 0.0
     dw = None
-    if order and sse > 0:
-        w = Window.orderBy("o")  # a series in one order is one task by nature
-        dw = e.select((F.col("e") - F.lag("e").over(w)).alias("g")).agg(F.sum(F.col("g") * F.col("g"))).first()[0] / sse
+    if order and sse > 0:  # steps within sorted ranges, and between the ends of neighbouring ones
+        ranged = durable(e.select("o", "e").repartitionByRange("o", "e").withColumn("part", F.spark_partition_id()))
+        w = Window.partitionBy("part").orderBy("o", "e")
+        steps = ranged.withColumn("g", F.col("e") - F.lag("e").over(w)).groupBy("part").agg(F.sum(F.col("g") * F.col("g")).alias("g2"), F.min(F.struct("o", "e"))["e"].alias("first"), F.max(F.struct("o", "e"))["e"].alias("last")).orderBy("part").collect()
+        dw = (sum(r.g2 or 0.0 for r in steps) + sum((b.first - a.last) ** 2 for a, b in zip(steps, steps[1:], strict=False))) / sse
     return {"n": n, "dropped": total - n, "terms": terms, "r2": r2, "adjusted_r2": 1 - (1 - r2) * (n - 1) / d, "f": f, "f_p": tails.f_tail(f, k, d) if math.isfinite(f) else 0.0, "jarque_bera": jb, "jarque_bera_p": tails.chi2_tail(jb, 2), "durbin_watson": dw}
 
 
