@@ -62,4 +62,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
-SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2}
+SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2, "p4_found": training_sql.P4}

@@ -1,4 +1,4 @@
-"""SQL for DuckDB that states the results of p1_found and p2_found independently."""
+"""SQL for DuckDB that states the results of p1_found, p2_found and p4_found independently."""
 
 P1 = r"""
 WITH props AS (
@@ -72,3 +72,33 @@ found AS (
     WHERE r.row_count <> coalesce(s.n, 0))
 SELECT dataset_name, load_no, c AS column_name, finding FROM found
 """
+
+_TYPE = """CASE WHEN t IN ('int32', 'integer') THEN 'int' WHEN t IN ('int64', 'bigint') THEN 'bigint' WHEN t IN ('double', 'float64', 'double precision') THEN 'double'
+  WHEN t IN ('decimal128(18, 2)', 'decimal(18,2)', 'numeric(18,2)') THEN 'decimal' WHEN t IN ('string', 'varchar', 'text') THEN 'string' WHEN t IN ('date32[day]', 'date') THEN 'date'
+  WHEN t IN ('timestamp[us]', 'timestamp', 'timestamp without time zone') THEN 'timestamp' WHEN t IN ('bool', 'boolean') THEN 'boolean' ELSE t END"""
+
+P4 = f"""
+WITH reg AS (
+  SELECT dataset_name AS d, load_no AS l, CAST(columns_json AS JSON[]) AS spec FROM (
+    SELECT *, row_number() OVER (PARTITION BY dataset_name, load_no ORDER BY updated_at DESC) AS k FROM catalog_tables) WHERE k = 1),
+cols AS (SELECT d, l, n, {_TYPE} AS t FROM (SELECT d, l, s->>'name' AS n, lower(s->>'physical_type') AS t FROM (SELECT d, l, unnest(spec) AS s FROM reg))),
+later AS (SELECT d, l FROM reg WHERE (d, l - 1) IN (SELECT (d, l) FROM reg)),
+gone AS (SELECT p.d, p.l, c.n, c.t FROM later p JOIN cols c ON c.d = p.d AND c.l = p.l - 1 WHERE NOT EXISTS (SELECT 1 FROM cols x WHERE x.d = p.d AND x.l = p.l AND x.n = c.n)),
+come AS (SELECT p.d, p.l, c.n, c.t FROM later p JOIN cols c ON c.d = p.d AND c.l = p.l WHERE NOT EXISTS (SELECT 1 FROM cols x WHERE x.d = p.d AND x.l = p.l - 1 AND x.n = c.n)),
+rec AS (SELECT DISTINCT dataset_name AS d, load_no AS l, record_no AS r, payload FROM raw_records),
+vals AS (
+  SELECT g.d, g.l, g.n AS a, g.t AS ta, c.n AS b, c.t AS tb, json_extract_string(x.payload, '$."' || g.n || '"') AS va, json_extract_string(y.payload, '$."' || c.n || '"') AS vb
+  FROM gone g JOIN come c USING (d, l) JOIN rec x ON x.d = g.d AND x.l = g.l - 1 JOIN rec y ON y.d = g.d AND y.l = g.l AND y.r = x.r),
+same AS (
+  SELECT d, l, a, ta, b, tb FROM vals GROUP BY ALL
+  HAVING count(*) FILTER (va IS NOT NULL AND vb IS NOT NULL) >= 2 AND count(*) FILTER (va = vb OR TRY_CAST(va AS DECIMAL(30, 6)) = TRY_CAST(vb AS DECIMAL(30, 6))
+      OR (regexp_matches(va, '^\\d{{4}}-\\d\\d-\\d\\d') AND least(length(va), length(vb)) = 10 AND left(va, 10) = left(vb, 10))
+      OR (CASE WHEN va IN ('true', '1') THEN 1 WHEN va IN ('false', '0') THEN 0 END) = (CASE WHEN lower(vb) IN ('true', '1') THEN 1 WHEN lower(vb) IN ('false', '0') THEN 0 END)
+      OR lower(va) = lower(vb)) >= 0.9 * count(*) FILTER (va IS NOT NULL OR vb IS NOT NULL))
+SELECT d AS dataset_name, l AS load_no, kind AS change_kind, a AS old_name, b AS new_name FROM (
+  SELECT d, l, 'renamed' AS kind, a, b FROM same
+  UNION ALL SELECT d, l, 'retyped', a, b FROM same WHERE ta <> tb
+  UNION ALL SELECT o.d, p.l, 'retyped', o.n, o.n FROM later p JOIN cols o ON o.d = p.d AND o.l = p.l - 1 JOIN cols c ON c.d = p.d AND c.l = p.l AND c.n = o.n WHERE o.t <> c.t
+  UNION ALL SELECT d, l, 'removed', n, '' FROM gone g WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.d = g.d AND s.l = g.l AND s.a = g.n)
+  UNION ALL SELECT d, l, 'added', '', n FROM come c WHERE NOT EXISTS (SELECT 1 FROM same s WHERE s.d = c.d AND s.l = c.l AND s.b = c.n))
+"""
