@@ -138,3 +138,26 @@ def variance_shares(df: DataFrame, metric: str, dims: list[str]) -> dict:
         if len(set(sizes.values())) == 1 and len(sizes) == levels[kept[0]] * levels[kept[1]]:
             interaction = between(tuple(kept)) - factors[kept[0]]["ssb"] - factors[kept[1]]["ssb"]
     return {"n": n, "sst": total, "population_variance": total / n, "factors": factors, "sequential": sequential, "shapley": shapley, "skipped": [d for d in dims if d not in kept], "interaction": interaction}
+
+
+def driver_report(df: DataFrame, metric: str, path: list[str], base: Column, current: Column, func: str = "SUM", top: int = 5, rate: str | None = None, volume: str | None = None) -> dict:
+    """Totals of both periods, the largest changes at each depth, and for sums the members of each dimension and rate and volume.
+
+    closes tells whether the members of the first dimension add up to the change; other functions than SUM are level
+    comparisons and never close.
+    """
+    f, x = AGGREGATES[func.upper()], F.col(quoted(metric))
+    totals = df.agg(f(F.when(base, x)).cast("double").alias("base"), f(F.when(current, x)).cast("double").alias("current")).first()
+    b, c = totals["base"] or 0.0, totals["current"] or 0.0
+    members = driver_table(df, metric, path[:1], base, current, func)
+    out = {"base": b, "current": c, "delta": c - b, "growth_pct": (c - b) / abs(b) * 100 if b else None, "method": "contribution" if func.upper() == "SUM" else "level_comparison", "closes": False, "shapley": None, "rate_volume": None}
+    depths = range(1, len(path) + 1)
+    branches = [driver_table(df, metric, path[:k], base, current, func).orderBy(F.abs("diff").desc(), *[F.col(quoted(p)).asc_nulls_first() for p in path[:k]]).limit(2 * top).collect() for k in depths]
+    out["branches"] = [{"depth": k, "path": [r[p] for p in path[:k]], "base": r["base"], "current": r["current"], "diff": r["diff"]} for k, rows in zip(depths, branches, strict=True) for r in rows]
+    if func.upper() == "SUM":
+        total = members.agg(F.sum(F.round("diff", 2))).first()[0] or 0.0
+        out["closes"] = abs(total - (c - b)) < 0.05
+        out["shapley"] = {d: [r.asDict() for r in shapley_members(df, metric, [d], base, current).orderBy(F.abs("diff").desc(), "member").limit(top).collect()] for d in path[:MAX_PERMUTED]}
+    if rate and volume:
+        out["rate_volume"] = [r.asDict() for r in rate_volume(df, path[0], rate, volume, base, current).orderBy(F.col(quoted(path[0])).asc_nulls_first()).limit(2 * top).collect()]
+    return out

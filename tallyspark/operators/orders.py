@@ -184,3 +184,39 @@ def discount_scenarios(df: DataFrame, window: tuple[str, str], caps: list[float]
     out = cases.groupingSets([keys, keys[1:]], *keys).agg(F.sum("v").alias("profit"), F.sum("now").alias("now"), F.sum("net").alias("net"), F.sum("c").alias("c"), F.grouping_id().cast("long").alias("level"))
     even = F.try_divide(F.col("net") - F.col("c") - F.col("now"), F.col("net") - F.col("cost_share") * F.col("c"))
     return out.select("product", "cap", "drop_share", "cost_share", "profit", (F.col("profit") - F.col("now")).alias("uplift"), even.alias("tolerance"), "level")
+
+
+def business_report(df: DataFrame, value: str, date_column: str, base: tuple[date, date], current: tuple[date, date], grain: str = "month", dimensions: list[str] = (), filters: dict[str, str] | None = None, roles: B.Roles | None = None) -> dict:
+    """A report of a summed metric: comparison, calendar series with anomalies, up to 2 dimensions (top 50), and the bridge if roles are given.
+
+    Windows are [start, end) and at most 3653 days, for days 2000. Only aggregated rows reach the driver.
+    """
+    start, end = base[0], current[1]
+    if not base[0] < base[1] <= current[0] < current[1] or (end - start).days > (2000 if grain == "day" else 3653):
+        raise ContractError("the windows are out of order or too long")
+    if len(dimensions) > 2 or len(filters or {}) > 8:
+        raise ContractError("at most 2 dimensions and 8 filters")
+    from tallyspark.operators.attribution import driver_table
+    from tallyspark.operators.relational import matching
+
+    rows = matching(df, filters or {})
+    day = F.col(quoted(date_column)).try_cast("date")
+    rows = rows.withColumn(value, F.col(quoted(value)).try_cast("double"))
+    within = lambda w: F.coalesce((day >= F.lit(w[0])) & (day < F.lit(w[1])), F.lit(False))
+    b, c = within(base), within(current)
+    totals = rows.agg(F.sum(F.when(b, F.col(quoted(value)))).alias("base"), F.sum(F.when(c, F.col(quoted(value)))).alias("current"), F.count_if(b).alias("base_rows"), F.count_if(c).alias("current_rows"), F.count_if(day.isNull()).alias("undated")).first().asDict()
+    delta = totals["current"] - totals["base"] if totals["current"] is not None and totals["base"] is not None else None
+    series = calendar_series(rows, date_column, value, grain, start, end)
+    parts = {d: [r.asDict() for r in driver_table(rows, value, [d], b, c).orderBy(F.abs("diff").desc(), F.col(quoted(d)).asc_nulls_first()).limit(50).collect()] for d in dimensions}
+    checks = [t for t, bad in (("rows without a date were left out", totals["undated"]), ("the base window has no rows", not totals["base_rows"]), ("the current window has no rows", not totals["current_rows"])) if bad]
+    steps = [f"look into {d} {rows_[0][d]}" for d, rows_ in parts.items() if rows_]
+    bridge = [r.asDict() for r in B.profit_bridge(rows, tuple(map(str, base)), tuple(map(str, current)), roles).collect()] if roles else None
+    return {"comparison": totals | {"delta": delta, "change_pct": delta * 100 / abs(totals["base"]) if delta is not None and totals["base"] else None}, "series": [r.asDict() for r in series.orderBy("bucket").collect()], "anomalies": [r.asDict() for r in anomalies(series).collect()], "dimensions": parts, "bridge": bridge, "checks": checks, "next_steps": steps}
+
+
+def default_windows(df: DataFrame, date_column: str, grain: str = "month") -> tuple[tuple[date, date], tuple[date, date]]:
+    """The latest bucket of the data and the one before."""
+    last = df.select(F.max(F.col(quoted(date_column)).try_cast("date")).alias("d")).select(period_start(grain, F.col("d")).alias("d"), F.expr({"day": "date_add(d, -1)", "week": "date_add(trunc(d, 'week'), -7)", "month": "add_months(trunc(d, 'month'), -1)", "quarter": "add_months(trunc(d, 'quarter'), -3)", "year": "add_months(trunc(d, 'year'), -12)"}[grain]).alias("b"), F.expr({"day": "date_add(d, 1)", "week": "date_add(trunc(d, 'week'), 7)", "month": "add_months(trunc(d, 'month'), 1)", "quarter": "add_months(trunc(d, 'quarter'), 3)", "year": "add_months(trunc(d, 'year'), 12)"}[grain]).alias("e")).first()
+    if last.d is None:
+        raise ContractError("there is no date")
+    return (last.b, last.d), (last.d, last.e)
