@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyspark.engine.shared import durable
+
 TRACE_COLUMNS = (
     "event_id", "trace_id", "span_id", "parent_span_id", "session_id", "user_id", "event_type", "event_name", "service_name", "page_path", "page_url", "page_title", "status_code", "created_at", "properties", "duration_ms", "timestamp_ms",
 )
@@ -35,10 +37,20 @@ def funnel(df: DataFrame, steps: list[str], user: str = "user_id", event: str =
 
 
 def flow(df: DataFrame, session: str, page: str, at: str, k: int = 20) -> DataFrame:
-    """(source, target, n): the k most frequent steps from page to page within sessions; staying isn't a step."""
-    w = Window.partitionBy(session).orderBy(F.col(at).asc_nulls_last(), F.col(page).asc_nulls_last())
-    steps = df.select(F.col(session), F.col(page).alias("source"), F.lead(page).over(w).alias("target")).filter("source is not null and target is not null and source <> target")
-    return steps.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source", "target").limit(k)
+    """(source, target, n): the k most frequent steps from page to page within sessions; staying isn't a step.
+
+    Rows are ordered in ranges of session and time, so that a session that holds a third of all rows is no single task;
+    the step from one range to the next comes from the ranges' first rows, of which there are as many as ranges. Rows of
+    one time are ordered by page; null sessions don't count.
+    """
+    rows = df.select(F.col(session).alias("s"), F.col(at).alias("t"), F.col(page).alias("source")).filter("s is not null and source is not null")
+    ranged = durable(rows.repartitionByRange("s", "t", "source").withColumn("part", F.spark_partition_id()))
+    heads = sorted(ranged.groupBy("part").agg(F.min(F.struct("s", "t", "source")).alias("h")).select("part", "h.s", "h.source").collect())
+    pairs = [x for a, b in zip(heads, heads[1:], strict=False) for x in (F.lit(a.part), F.struct(F.lit(b.s).alias("s"), F.lit(b.source).alias("source")))]
+    after = F.element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(None).cast(f"struct<s:{ranged.schema['s'].dataType.simpleString()},source:{ranged.schema['source'].dataType.simpleString()}>")
+    w = Window.partitionBy("part").orderBy("s", F.col("t").asc_nulls_first(), "source")
+    steps = ranged.select("s", "source", F.coalesce(F.lead(F.struct("s", "source")).over(w), after).alias("next")).filter(F.col("next.s") == F.col("s"))
+    return steps.select("source", F.col("next.source").alias("target")).filter("source <> target").groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "source", "target").limit(k)
 
 
 def retention(df: DataFrame, user: str, at: str, days: int = 7) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from tallyspark.engine import types as semantics
 from tallyspark.engine.guard import quoted
+from tallyspark.operators.relational import top_per_group
 
 #: Rows above which distinct counts and quantiles are approximate by default.
 EXACT_ROWS = 100_000
@@ -69,14 +70,9 @@ def quality_score(profiled: DataFrame) -> DataFrame:
 def top_values(df: DataFrame, names: list[str], k: int = 10) -> DataFrame:
     """(column_name, value, n, place): the k most frequent non-null values of each column; of equals the least text.
 
-    Counts are combined before the shuffle and ranked per column by a bounded aggregate, so one frequent value is no
-    hot task and no column's values are collected.
+    Counts are combined before the shuffle and cut per column in shards, so neither a frequent value nor a column of many
+    values is a hot task.
     """
     pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(quoted(c)).cast("string").alias("value")) for c in names])
     counts = df.select(F.inline(pairs)).filter("value is not null").groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-    shards = counts.withColumn("shard", F.pmod(F.xxhash64("value"), F.lit(64)))
-    from pyspark.sql import Window
-
-    order = [F.col("n").desc(), F.col("value")]
-    best = shards.withColumn("p", F.row_number().over(Window.partitionBy("column_name", "shard").orderBy(*order))).filter(F.col("p") <= k)
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("column_name").orderBy(*order))).filter(F.col("place") <= k).select("column_name", "value", "n", "place")
+    return top_per_group(counts, ["column_name"], [F.col("n").desc(), F.col("value")], k)

@@ -100,6 +100,17 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return best.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int, place: str = "place", shards: int = 64) -> DataFrame:
+    """The first k rows of each group in the given order, with their place.
+
+    Each group is first cut to k within shards of its rows, so a hot group is never sorted in one task.
+    """
+    rest = [F.col(guard.quoted(c)) for c, t in df.dtypes if c not in keys and not t.startswith("map")]
+    shard = F.pmod(F.xxhash64(*rest), F.lit(shards)) if rest else F.lit(0)
+    first = df.withColumn("_shard", shard).withColumn(place, F.row_number().over(Window.partitionBy(*keys, "_shard").orderBy(*order))).filter(F.col(place) <= k)
+    return first.drop("_shard").withColumn(place, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(place) <= k)
+
+
 def running_total(df: DataFrame, partition: list[str], order: str, value: str, name: str) -> DataFrame:
     """The value summed up to each row, by partition."""
     w = Window.partitionBy(*partition).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)

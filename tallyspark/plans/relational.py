@@ -155,8 +155,8 @@ def set_distinct(spark, d):
 def window_rank(spark, d):
     per = table(spark, d, "orders").groupBy("o_custkey").agg(F.round(F.sum(F.col("o_totalprice").cast("decimal(14,2)")).cast("double"), 2).alias("total"))
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    w = Window.partitionBy("c_nationkey").orderBy(F.col("total").desc(), "c_custkey")
-    return per.join(c, per.o_custkey == c.c_custkey).select("c_nationkey", "c_custkey", "total", F.rank().over(w).alias("place")).filter("place <= 3")
+    rows = per.join(c, per.o_custkey == c.c_custkey).select("c_nationkey", "c_custkey", "total")
+    return R.top_per_group(rows, ["c_nationkey"], [F.col("total").desc(), F.col("c_custkey")], 3)
 
 
 def window_latest(spark, d):

@@ -173,6 +173,32 @@ def test_funnel_is_a_set_and_can_be_ordered(spark):
     assert [(r.users, r.rate_from_first) for r in events.funnel(df.limit(0), ["a", "b"]).collect()] == [(0, 0.0), (0, 0.0)]
 
 
+def test_flow_across_ranges_of_a_hot_session(spark):
+    rng = __import__("random").Random(1)
+    rows = [("hot", k, rng.choice("abc")) for k in range(400)] + [(f"s{k}", t, rng.choice("abc")) for k in range(30) for t in range(5)] + [(None, 1, "a"), ("hot", None, "a"), ("x", 1, None)]
+    by: dict = {}
+    for s, t, p in rows:
+        if s is not None and p is not None:
+            by.setdefault(s, []).append((-1 if t is None else t, p))
+    want: dict = {}
+    for steps in by.values():
+        steps.sort()
+        for (_, a), (_, b) in zip(steps, steps[1:]):
+            if a != b:
+                want[a, b] = want.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "s string, t int, p string")
+    assert {(r.source, r.target): r.n for r in events.flow(df, "s", "p", "t").collect()} == want
+    assert events.flow(df.limit(0), "s", "p", "t").collect() == []
+
+
+def test_top_per_group(spark):
+    df = spark.createDataFrame([("hot", k % 97) for k in range(500)] + [("b", 1), (None, 3), (None, 4)], "g string, v int")
+    got = {}
+    for r in relational.top_per_group(df, ["g"], [F.col("v").desc()], 3).collect():
+        got.setdefault(r.g, []).append((r.place, r.v))
+    assert {g: sorted(x) for g, x in got.items()} == {"hot": [(1, 96), (2, 96), (3, 96)], "b": [(1, 1)], None: [(1, 4), (2, 3)]}
+
+
 # semantic layer, ontology, catalogue
 @pytest.fixture
 def store(spark):
