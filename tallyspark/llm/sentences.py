@@ -190,7 +190,7 @@ def _next(text: str, at: int, end: int, starters: frozenset[str]) -> tuple[str,
         if c.isupper():
             return ("starter" if word in starters else "single" if len(m[0]) == 1 else "upper" if gap != "none" or m[0][1:2].islower() else "caps"), gap
         if c.islower():
-            return "lower", gap
+            return ("low starter" if gap != "none" and "~" + word in starters else "lower"), gap
         return "nocase", gap
     return ("cjk" if _CJK.match(c) else "punct"), gap
 
@@ -309,16 +309,19 @@ def silver_label(q: Place) -> bool:
     if q.before == "title":
         return False
     if q.before in ("letter", "initial", "rank"):
-        return q.after == "starter"
+        return q.after == "starter" or (q.before == "letter" and q.after in ("ident", "low starter"))
     if q.before.startswith("open"):
-        return q.after == "starter" or (q.before == "open:number" and q.after in ("digit", "ident"))
+        return q.after == "starter" or (q.before == "open:number" and q.after in ("digit", "ident", "low starter"))
     if q.before == "none":
         return begins
     return q.after != "lower"
 
 
 def learn_starters(texts: list[str]) -> frozenset[str]:
-    """Words that begin certain sentences: of blocks that aren't list items, and behind ! or ? outside quotes."""
+    """Words that begin certain sentences: of blocks that aren't list items, and behind ! or ? outside quotes.
+
+    Words that begin blocks in lower case, such as names of columns, are marked with ~.
+    """
     seen: Counter[str] = Counter()
     for text in texts:
         for block in parse(text, frozenset()):
@@ -329,7 +332,9 @@ def learn_starters(texts: list[str]) -> frozenset[str]:
             for k in at:
                 m = regex.compile(r"\s*[\p{Ps}\p{Pi}¿¡\"]*\s*").match(text, k)
                 w = _WORD.match(text, m.end())
-                if w and w[0][0].isupper():
+                if w and k == first and w[0][0].islower():
+                    seen["~" + _INVISIBLE.sub("", w[0]).casefold()] += 1
+                elif w and w[0][0].isupper():
                     seen[_INVISIBLE.sub("", w[0]).casefold()] += 1
     return frozenset(w for w, n in seen.items() if n >= STARTER_COUNT)
 

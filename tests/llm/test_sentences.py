@@ -3,6 +3,7 @@ import pytest
 from tallyspark.llm import sentences as S
 
 TRAINING = [
+    "channel is text, not a number.\n\nchannel is text, not a number.",
     "The desk closed the ticket. In the U.S. stores, margin rose by 4.2%. What changed? Nobody knew! After the load, Mr. Kefel wrote to Dr. Bo at 5 p.m. Since then it is fine.",
     "In the north, it fell. Since June it rose. The rest was noise. After that, it rose! The end is near. Since May, all is well? In short, yes.",
     "Der Lauf vom 3. Mai lieferte 28 Zeilen, d. h. rund 20 % mehr. Die Brücke schließt! Seit Version v2.1 steht der Stand. Die Quote stieg? Seit Mai fällt sie.",
@@ -12,6 +13,7 @@ TRAINING = [
     "เราจะเทียบกับช่วงเดียวกันของปีก่อน ตาราง fct_sales ถูกสร้างใหม่เมื่อเช้านี้ ยังไม่มีใครยืนยันตัวเลขชุดนี้",
 ]
 CASES = [
+    ["It took 6 s.", "channel is text, not a number.", "The rest was noise!", "channel is text, see the channel list.", 'She noted: "It is off by 4.1%."', "channel is text.", "(It holds.)", "channel is text."],
     ["Mr. Pefa and Ms. Gin met at 5 p.m. on Fri. 2026-05-28, as agreed.", "The U.S. stores rose by 3.5%.", "After it, nobody knew!"],
     ["It fell, as in the U.S.", "Since then, sales of e.g. lamps, chairs, etc. rose."],
     ["The snapshot ended at 11 p.m. Eastern time.", "In week 2, it rose to 15,558."],
