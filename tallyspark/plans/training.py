@@ -32,7 +32,9 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     """A profile of every listed column and load."""
-    return value_counts.profile(table(spark, d, "sales_lines"), table(spark, d, "catalog_tables"))
+    p = value_counts.profile(table(spark, d, "sales_lines"), table(spark, d, "catalog_tables"))
+    keep = ["dataset_name", "load_no", "column_name", "semantic_type", "n_rows", "n_null", "n_distinct"]
+    return p.select(*keep, *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 4), ("deviation", 4), ("entropy", 6), ("shift", 6))])
 
 
 def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
@@ -62,4 +64,4 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
-SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2, "p4_found": training_sql.P4}
+SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2, "p2_profile": training_sql.P2_PROFILE, "p4_found": training_sql.P4}

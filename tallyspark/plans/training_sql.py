@@ -73,6 +73,14 @@ found AS (
 SELECT dataset_name, load_no, c AS column_name, finding FROM found
 """
 
+P2_PROFILE = P2[: P2.index("found AS (")].rstrip().removesuffix(",") + """,
+entropy AS (SELECT dataset_name, load_no, c, -sum(p * ln(p)) AS h FROM (
+    SELECT l.dataset_name, l.load_no, l.c, l.v, count(*) / any_value(b.f) AS p FROM long l JOIN fig b USING (dataset_name, load_no, c) WHERE l.v IS NOT NULL GROUP BY ALL) GROUP BY ALL)
+SELECT p.dataset_name, p.load_no, p.c AS column_name, p.kind AS semantic_type, p.n AS n_rows, p.n - p.f AS n_null, p.d AS n_distinct, round(p.m, 4) AS mean, round(p.sd, 4) AS deviation,
+       round(coalesce(e.h, 0), 6) AS entropy, CASE WHEN p.kind = 'DIMENSION_CATEGORICAL' AND p.f > 0 AND p.bf > 0 THEN round(x.x, 6) END AS shift
+FROM pair p LEFT JOIN entropy e USING (dataset_name, load_no, c) LEFT JOIN mix x USING (dataset_name, load_no, c)
+"""
+
 _TYPE = """CASE WHEN t IN ('int32', 'integer') THEN 'int' WHEN t IN ('int64', 'bigint') THEN 'bigint' WHEN t IN ('double', 'float64', 'double precision') THEN 'double'
   WHEN t IN ('decimal128(18, 2)', 'decimal(18,2)', 'numeric(18,2)') THEN 'decimal' WHEN t IN ('string', 'varchar', 'text') THEN 'string' WHEN t IN ('date32[day]', 'date') THEN 'date'
   WHEN t IN ('timestamp[us]', 'timestamp', 'timestamp without time zone') THEN 'timestamp' WHEN t IN ('bool', 'boolean') THEN 'boolean' ELSE t END"""
