@@ -30,7 +30,7 @@ def driver_table(df: DataFrame, metric: str, dims: list[str], base: Column, curr
     if func.upper() != "SUM":
         return cells.withColumns({"contribution": F.lit(None).cast("double"), "growth": grown})
     total = df.agg((F.coalesce(F.sum(F.when(current, x)), F.lit(0)) - F.coalesce(F.sum(F.when(base, x)), F.lit(0))).cast("double").alias("total"))
-    return cells.crossJoin(total).withColumns({"contribution": F.try_divide("diff", "total"), "growth": grown}).drop("total")
+    return cells.withColumns({"contribution": F.try_divide(F.col("diff"), total.scalar()), "growth": grown})
 
 
 def driver_path(df: DataFrame, metric: str, path: list[str], base: Column, current: Column, top: int | None = None) -> DataFrame:

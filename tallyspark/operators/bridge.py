@@ -72,7 +72,7 @@ def product_effects(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     sums = {"q": F.col("quantity"), "g": gross, "dg": gross * F.col("discount"), "c": F.col("cogs"), "r": residual(), "l": F.col("profit") - F.col("sales") + F.col("cogs"), "f": F.col("profit")}
     cells = rows.groupBy(*keys, "product").agg(*[F.coalesce(F.sum(F.when(F.col("period") == p, e)), F.lit(0.0)).alias(f"{n}{k}") for k, p in enumerate(("base", "current")) for n, e in sums.items()])
     totals = cells.groupBy(*keys).agg(F.sum("q0").alias("total_q0"), F.sum("q1").alias("total_q1"))
-    both = cells.join(totals, list(keys)) if keys else cells.crossJoin(totals)
+    both = cells.join(totals, list(keys)) if keys else cells.withColumns({c: totals.select(c).scalar() for c in ("total_q0", "total_q1")})
     own = lambda n, d, k: F.try_divide(f"{n}{k}", f"{d}{k}")
     for n, a, b in (("p", "g", "q"), ("d", "dg", "g"), ("u", "c", "q")):
         both = both.withColumns({f"{n}0": F.coalesce(own(a, b, 0), own(a, b, 1), F.lit(0.0)), f"{n}1": F.coalesce(own(a, b, 1), own(a, b, 0), F.lit(0.0))})

@@ -122,14 +122,14 @@ def dominance(df: DataFrame, category: str, value: str, k: int = 3) -> DataFrame
     # of the ordered sums, a tied value of n members takes places before + 1 to before + n
     weighted = F.sum(F.col("value") * F.col("n") * (F.col("before") + (F.col("n") + 1) / 2))
     base = ranked.agg(F.coalesce(n, F.lit(0)).alias("categories"), F.sum(F.col("value") * F.col("n")).alias("total"), weighted.alias("weighted"))
-    above = ranked.crossJoin(base.select("categories", "total")).withColumn("from_top", F.col("categories") - F.col("before") - F.col("n"))
+    above = ranked.withColumns({c: base.select(c).scalar() for c in ("categories", "total")}).withColumn("from_top", F.col("categories") - F.col("before") - F.col("n"))
     top = above.agg(F.sum(F.col("value") * F.greatest(F.lit(0), F.least(F.col("n"), F.lit(k) - F.col("from_top")))).alias("top"))
     # of n tied values, those before the running sum from the top reaches four fifths
     goal = F.col("total") * 0.8 - (F.col("total") - F.col("sum_before") - F.col("value") * F.col("n"))
     short = F.least(F.greatest(F.ceil(goal / F.col("value")) - 1, F.lit(0)), F.col("n"))
     pareto = above.agg((F.coalesce(F.sum(short), F.lit(0)) + 1).alias("pareto_80"))
     gini = (2 * F.col("weighted") / F.nullif(F.col("categories") * F.col("total"), F.lit(0.0))) - (F.col("categories") + 1) / F.nullif(F.col("categories"), F.lit(0))
-    return base.crossJoin(top).crossJoin(pareto).select("categories", "total", F.coalesce(gini, F.lit(0.0)).alias("gini"), F.coalesce(F.try_divide("top", "total"), F.lit(0.0)).alias("top_share"), F.when(F.col("categories") > 0, F.col("pareto_80")).otherwise(0).alias("pareto_80"))
+    return base.withColumns({"top": top.scalar(), "pareto_80": pareto.scalar()}).select("categories", "total", F.coalesce(gini, F.lit(0.0)).alias("gini"), F.coalesce(F.try_divide("top", "total"), F.lit(0.0)).alias("top_share"), F.when(F.col("categories") > 0, F.col("pareto_80")).otherwise(0).alias("pareto_80"))
 
 
 SEVERITY = {"anomaly": 3, "correlation": 2, "trend": 2, "dominance": 1}

@@ -51,12 +51,9 @@ def rfm(df: DataFrame, customer: str, day: str, order: str, amount: str, as_of:
         F.datediff(F.lit(as_of).cast("date"), F.max(F.col(quoted(day)).try_cast("date"))).alias("recency"), F.count_distinct(F.col(quoted(order))).alias("frequency"), F.sum(F.col(quoted(amount)).try_cast("double")).alias("monetary")
     )
     per = durable(per)
-    q = None
-    for c in ("recency", "frequency", "monetary"):
-        one = exact_quantiles(per, {}, F.col(c).cast("double"), [0.25, 0.5, 0.75]).select(F.col("q").alias(f"q_{c}"))
-        q = one if q is None else q.crossJoin(one)  # single rows
+    q = {f"q_{c}": exact_quantiles(per, {}, F.col(c).cast("double"), [0.25, 0.5, 0.75]).scalar() for c in ("recency", "frequency", "monetary")}
     below = lambda c, op: sum((F.when(op(F.col(f"q_{c}")[i], F.col(c)), 1).otherwise(0) for i in range(3)), F.lit(0))
-    both = per.crossJoin(q)
+    both = per.withColumns(q)
     scored = both.select("customer", "recency", "frequency", "monetary", (5 - below("recency", lambda a, x: a <= x)).alias("r"), (1 + below("frequency", lambda a, x: a <= x)).alias("f"), (1 + below("monetary", lambda a, x: a <= x)).alias("m"))
     segment = (
         F.when((F.col("r") >= 4) & (F.col("f") >= 3) & (F.col("m") >= 3), "champions").when((F.col("r") >= 3) & (F.col("f") >= 3), "loyal").when((F.col("r") <= 3) & (F.col("m") >= 3), "at_risk").when(F.col("r") >= 4, "recent").otherwise("others")

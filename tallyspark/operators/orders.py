@@ -51,7 +51,7 @@ def anomalies(series: DataFrame, threshold: float = 3.0, k: int = 20) -> DataFra
     """(bucket, value, z): buckets at least ``threshold`` population deviations from the mean."""
     stats = series.agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     z = (F.col("value") - F.col("m")) / F.nullif(F.col("s"), F.lit(0.0))
-    return series.crossJoin(stats).select("bucket", "value", z.alias("z")).filter(F.abs("z") >= threshold).orderBy(F.abs("z").desc(), "bucket").limit(k)
+    return series.withColumns({c: stats.select(c).scalar() for c in ("m", "s")}).select("bucket", "value", z.alias("z")).filter(F.abs("z") >= threshold).orderBy(F.abs("z").desc(), "bucket").limit(k)
 
 
 def order_classes(df: DataFrame, base: tuple[str, str], current: tuple[str, str], roles: B.Roles | None = None, *, amount_tolerance: float = 0.01, discount_threshold: float | None = None, min_reference_rows: int = 5) -> DataFrame:
@@ -73,7 +73,7 @@ def order_classes(df: DataFrame, base: tuple[str, str], current: tuple[str, str]
     marks = lines.groupBy("order", "period").agg(
         F.coalesce(F.max(F.abs(B.residual()) > amount_tolerance), F.lit(True)).alias("mismatch"), F.coalesce(F.max(F.col("discount") > limit), F.lit(False)).alias("outlier"),
         F.max(limit.isNull()).alias("unknown"), F.sum("sales").alias("sales"), F.sum("profit").alias("profit"),
-    ).crossJoin(sizes)
+    ).withColumn("size_limit", sizes.scalar())
     kind = F.when(F.col("mismatch"), "amount_mismatch").when(F.col("outlier"), "discount_outlier").when(F.col("unknown"), "insufficient_evidence").when(F.col("sales") > F.col("size_limit"), "large_order_checks_passed").otherwise("other_checks_passed")
     return marks.select("order", "period", kind.alias("order_class"), "sales", "profit", F.when(F.col("period") == "base", -F.col("profit")).otherwise(F.col("profit")).alias("contribution"))
 

@@ -43,7 +43,8 @@ def profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
             places.append((F.percentile(x, shares) if exact else F.kll_sketch_agg_double(x, SKETCH_SIZE)).alias(f"q{k}"))
     row = df.agg(*parts)
     for more in (places, distinct):
-        row = row.crossJoin(df.agg(*more)) if more else row  # single rows
+        if more:
+            row = row.withColumn("_s", df.agg(F.struct(*more)).scalar()).select("*", "_s.*").drop("_s")
     if not exact and places:  # a sketch per column is merged as bytes, and asked once at the end
         row = row.withColumns({f"q{k}": F.when(F.col(f"filled{k}") > 0, F.kll_sketch_get_quantile_double(f"q{k}", shares)) for k, f in enumerate(flat) if isinstance(f.dataType, T.NumericType)})
     none = F.lit(None).cast("double")

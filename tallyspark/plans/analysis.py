@@ -218,7 +218,6 @@ def _q(sql: str) -> str:
 
 
 _P = "CASE year(order_date) WHEN 1997 THEN 'base' WHEN 1998 THEN 'current' END"
-_S = "sum({0}) FILTER (year(order_date) = {1})"
 
 
 def _both(x, f="sum"):
@@ -241,14 +240,12 @@ _FIGS = ["mean", "sd", "min", "max", "p25", "p50", "p75", "p95", "p99", "skewnes
 
 
 def _flag(method):
-    w = "PARTITION BY region"
     if method == "zscore":
         ref, score = "SELECT region, avg(sales) AS m, stddev_pop(sales) AS s FROM t WHERE p = 'base' GROUP BY 1", "abs(sales - m) / nullif(s, 0) >= 2.0"
     elif method == "iqr":
         ref, score = "SELECT region, quantile_cont(sales, 0.25) AS m, quantile_cont(sales, 0.75) AS h, quantile_cont(sales, 0.75) - quantile_cont(sales, 0.25) AS s FROM t WHERE p = 'base' GROUP BY 1", "greatest(m - sales, sales - h, 0) / nullif(s, 0) > 0.3"
     else:
         ref, score = "SELECT region, any_value(m) AS m, median(abs(sales - m)) AS s FROM (SELECT t.region, sales, m FROM t JOIN (SELECT region, median(sales) AS m FROM t WHERE p = 'base' GROUP BY 1) USING (region) WHERE p = 'base') GROUP BY 1", "0.67449 * abs(sales - m) / nullif(s, 0) >= 2.0"
-    del w
     return _q(f"@t AS (SELECT *, {_P} AS p FROM sales WHERE year(order_date) IN (1997, 1998)), ref AS ({ref}), f AS (SELECT t.*, coalesce({score}, false) AS bad FROM t JOIN ref USING (region)) "
               + " UNION ALL ".join(f"SELECT '{n}' AS scenario, round(sum(sales) FILTER (p = 'base'), 4) AS base, round(sum(sales) FILTER (p = 'current'), 4) AS current, count(*) FILTER (p = 'base') AS base_rows, count(*) FILTER (p = 'current') AS current_rows FROM f {c}" for n, c in (("all", ""), ("reviewed", "WHERE NOT bad"))))
 
