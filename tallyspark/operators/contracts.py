@@ -147,9 +147,13 @@ def _measured(frame: Frame, keys: list[Column | str]) -> DataFrame:
 
 def compare(frame: Frame) -> DataFrame:
     """(base, current, delta, change_pct, base_rows, current_rows): null where a value or the base doesn't allow it."""
-    v = _measured(frame, ["_period"])
+    return _ends(_measured(frame, ["_period"]), [])
+
+
+def _ends(v: DataFrame, keys: list[str]) -> DataFrame:
+    """Both periods' values side by side, per key."""
     pick = lambda p, c: F.max(F.when(F.col("_period") == p, F.col(c)))
-    out = v.agg(pick("base", "value").alias("base"), pick("current", "value").alias("current"), pick("base", "rows_used").alias("base_rows"), pick("current", "rows_used").alias("current_rows"))
+    out = v.groupBy(*keys).agg(pick("base", "value").alias("base"), pick("current", "value").alias("current"), pick("base", "rows_used").alias("base_rows"), pick("current", "rows_used").alias("current_rows"))
     return out.withColumn("delta", F.col("current") - F.col("base")).withColumn("change_pct", F.try_divide(F.col("delta") * 100, F.abs("base")))
 
 
@@ -213,13 +217,16 @@ def flagged(frame: Frame, column: str, method: str = "mad", threshold: float | N
 
 
 def sensitivity(frame: Frame, column: str, method: str = "mad", threshold: float | None = None, reference: str = "base", cohort: str | None = None, entity: str | None = None) -> DataFrame:
-    """compare() with all rows and without flagged rows, or without all rows of flagged entities: (scenario, ...)."""
+    """compare() with all rows and without flagged rows, or without all rows of flagged entities: (scenario, ...).
+
+    Both scenarios are measured in one pass; a scenario or window without rows has nulls.
+    """
     rows = flagged(frame, column, method, threshold, reference, cohort)
+    out = F.col("_flag")
     if entity:
-        bad = rows.filter("_flag").select(F.col(quoted(entity)).alias("_e")).distinct()
-        left = rows.join(bad, F.col(quoted(entity)).eqNullSafe(F.col("_e")), "left_anti")
-    else:
-        left = rows.filter("not _flag")
-    a = compare(Frame(rows, frame.metric, frame.windows)).withColumn("scenario", F.lit("all"))
-    b = compare(Frame(left, frame.metric, frame.windows)).withColumn("scenario", F.lit("reviewed"))
-    return a.unionByName(b)
+        bad = rows.filter("_flag").select(F.col(quoted(entity)).alias("_e")).distinct().withColumn("_bad", F.lit(True))
+        rows, out = rows.join(bad, F.col(quoted(entity)).eqNullSafe(F.col("_e")), "left"), F.coalesce("_bad", F.lit(False))
+    names = F.array(F.lit("all"), F.lit("reviewed"))
+    both = rows.withColumn("scenario", F.explode(F.when(out, F.slice(names, 1, 1)).otherwise(names)))
+    found = _ends(_measured(Frame(both, frame.metric, frame.windows), ["scenario", "_period"]), ["scenario"])
+    return rows.sparkSession.createDataFrame([("all",), ("reviewed",)], "scenario string").join(found, "scenario", "left")
