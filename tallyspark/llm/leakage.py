@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.engine.shared import spread
+
 #: Characters that a leaked run has at least, by the item's language (fixed values of the contract).
 RUN, SHORT_RUN, SHORT_LANGS = 80, 30, ("zh",)
 #: Item characters that are sent to the workers at once.
@@ -128,6 +130,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, max_errors: int = 0) ->
     texts = items.select("item_id", "lang", "item_text").filter("item_id is not null and item_text is not null")
     chars = texts.agg(F.sum(F.length("item_text"))).first()[0] or 0
     blocks = max(1, -(-chars // BLOCK_CHARS))
+    bodies = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"), "doc_id")
     out = None
     for block in range(blocks):
         own = texts.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(blocks)) == block) if blocks > 1 else texts
@@ -139,6 +142,6 @@ def leaked_items(documents: DataFrame, items: DataFrame, max_errors: int = 0) ->
                 hits = [(i, d) for d, t in zip(b["doc_id"], b["text"], strict=True) for i in matcher.leaked(t)]
                 yield pd.DataFrame(hits, columns=["item_id", "doc_id"])
 
-        part = documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(match, "item_id long, doc_id long")
+        part = bodies.mapInPandas(match, "item_id long, doc_id long")
         out = part if out is None else out.unionByName(part)
     return out

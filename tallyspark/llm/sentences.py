@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.engine.shared import spread
+
 #: Documents that the model is fitted on, characters of each that are used for it, and passes over them.
 SAMPLE_DOCS, SAMPLE_CHARS, PASSES = 3000, 20_000, 6
 #: Value of the feature that holds the cascade's opinion (all others have 1), and the margin that training asks for.
@@ -473,4 +475,5 @@ def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFram
             rows = [(d, s, e) for d, t in zip(b["doc_id"], b["text"], strict=True) for s, e in units(t, model)]
             yield pd.DataFrame(rows, columns=["doc_id", "start_char", "end_char"]).astype("int64")
 
-    return documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(cut, "doc_id long, start_char long, end_char long")
+    bodies = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
+    return spread(bodies, "doc_id").mapInPandas(cut, "doc_id long, start_char long, end_char long")
