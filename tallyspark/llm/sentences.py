@@ -7,8 +7,8 @@ others are inside, which leaves a short lattice per block of text. Blank lines a
 The model scores a tag by features of the place (mark, word before, word behind, gap, state of quotes and brackets) and
 a pair of neighbouring tags by how near they are. It is an averaged structured perceptron with a margin, fitted at query
 time on at most ``SAMPLE_DOCS`` documents. No labelled text exists, so it learns from silver labels: ``silver_label``
-decides each place from fixed word lists and from counts over the sample of how words begin sentences where that is
-certain; that opinion is also one of the features, so that combinations the sample lacks fall back on it. For the
+decides each place from fixed word lists and from counts over all whole documents of how words begin sentences where that
+is certain; that opinion is also one of the features, so that combinations the sample lacks fall back on it. For the
 unpunctuated script (Thai) the training text is stripped of punctuation, so that only words and blanks tell.
 
 Documents are tagged where they lie, whole and without a shuffle. Offsets count code points.
@@ -28,14 +28,16 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.engine.shared import spread
+from tallyspark.engine.shared import durable, spread
 
 #: Documents that the model is fitted on, characters of each that are used for it, and passes over them.
 SAMPLE_DOCS, SAMPLE_CHARS, PASSES = 3000, 20_000, 6
 #: Value of the feature that holds the cascade's opinion (all others have 1), and the margin that training asks for.
 PRIOR, MARGIN = 3.0, 2.0
-#: Times that a word must begin a certain sentence in the sample to count as a starter.
-STARTER_COUNT = 2
+#: Times that a word must begin a certain sentence to count as a starter, and its share of all such beginnings: both at least.
+STARTER_COUNT, STARTER_SHARE = 2, 1e-4
+#: Distinct words that a task counts before it hands the counts on.
+MOST_COUNTED = 100_000
 
 # Abbreviations, in lower case without the last point. The first never end a sentence before a capital or
 # digit; the second may.
@@ -70,6 +72,8 @@ _THAI = regex.compile(r"(?<=\p{Thai})\s+(?=\S)|(?<=\S)\s+(?=\p{Thai})")
 _CJK = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]")
 _GLUED = regex.compile(r"(?<=[\p{Ll}\d%)])[.!?]+[\"”»’)]*([\p{Lu}][\p{L}\p{N}_.]*)$")
 _STRIP = regex.compile(r"[\p{P}\p{S}]+")
+_BEFORE_FIRST = regex.compile(r"\s*[\p{Ps}\p{Pi}\p{Po}]*")
+_BEFORE_WORD = regex.compile(r"\s*[\p{Ps}\p{Pi}¿¡\"]*\s*")
 
 
 @dataclass
@@ -319,26 +323,48 @@ def silver_label(q: Place) -> bool:
     return q.after != "lower"
 
 
-def learn_starters(texts: list[str]) -> frozenset[str]:
-    """Words that begin certain sentences: of blocks that aren't list items, and behind ! or ? outside quotes.
+def opening_words(text: str) -> Iterator[str]:
+    """Words that begin certain sentences: of blocks that aren't list items, and behind a point, ! or ? outside quotes.
 
     Words that begin blocks in lower case, such as names of columns, are marked with ~.
     """
-    seen: Counter[str] = Counter()
-    for text in texts:
-        for block in parse(text, frozenset()):
-            if block.item:
-                continue
-            first = regex.match(r"\s*[\p{Ps}\p{Pi}\p{Po}]*", text[block.start : block.end]).end() + block.start
-            at = [first] + [q.end for q in block.places if q.kind in ("ask", "point") and q.quote == "none" and q.gap != "none" and q.before in ("word", "number", "none") and q.after in ("upper", "single")]
-            for k in at:
-                m = regex.compile(r"\s*[\p{Ps}\p{Pi}¿¡\"]*\s*").match(text, k)
-                w = _WORD.match(text, m.end())
-                if w and k == first and w[0][0].islower():
-                    seen["~" + _INVISIBLE.sub("", w[0]).casefold()] += 1
-                elif w and w[0][0].isupper():
-                    seen[_INVISIBLE.sub("", w[0]).casefold()] += 1
-    return frozenset(w for w, n in seen.items() if n >= STARTER_COUNT)
+    for block in parse(text, frozenset()):
+        if block.item:
+            continue
+        first = _BEFORE_FIRST.match(text, block.start, block.end).end()
+        at = [first] + [q.end for q in block.places if q.kind in ("ask", "point") and q.quote == "none" and q.gap != "none" and q.before in ("word", "number", "none") and q.after in ("upper", "single")]
+        for k in at:
+            w = _WORD.match(text, _BEFORE_WORD.match(text, k).end())
+            if w and k == first and w[0][0].islower():
+                yield "~" + _INVISIBLE.sub("", w[0]).casefold()
+            elif w and w[0][0].isupper():
+                yield _INVISIBLE.sub("", w[0]).casefold()
+
+
+def learn_starters(texts: list[str]) -> frozenset[str]:
+    """The opening words that count as starters of the texts (see ``STARTER_SHARE``)."""
+    seen = Counter(w for text in texts for w in opening_words(text))
+    least = max(STARTER_COUNT, STARTER_SHARE * seen.total())
+    return frozenset(w for w, n in seen.items() if n >= least)
+
+
+def corpus_starters(documents: DataFrame) -> frozenset[str]:
+    """``learn_starters`` of all documents, counted where they lie; at most 1 / ``STARTER_SHARE`` words reach the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter[str] = Counter()
+        for b in batches:
+            for text in b["text"]:
+                seen.update(opening_words(text))
+            if len(seen) > MOST_COUNTED:
+                yield pd.DataFrame(seen.items(), columns=["word", "n"])
+                seen.clear()
+        yield pd.DataFrame(seen.items(), columns=["word", "n"]).astype({"word": "object", "n": "int64"})
+
+    bodies = documents.select("doc_id", "text").filter("text <> ''")
+    counts = durable(spread(bodies, "doc_id").mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return frozenset(r.word for r in counts.filter(F.col("n") >= max(STARTER_COUNT, STARTER_SHARE * total)).collect())
 
 
 @dataclass
@@ -394,10 +420,14 @@ def _distance(a: Place | None, b: Place) -> str:
     return "" if a is None else "near" if b.end - a.end <= 4 else "far"
 
 
-def fit(texts: list[str]) -> Model:
-    """An averaged structured perceptron from silver labels on the texts and their stripped unpunctuated lines."""
+def fit(texts: list[str], starters: frozenset[str] | None = None) -> Model:
+    """An averaged structured perceptron from silver labels on the texts and their stripped unpunctuated lines.
+
+    starters are those of the corpus that the texts are a sample of; without them the texts are the corpus.
+    """
+    if starters is None:
+        starters = learn_starters([t for t in texts if t])
     texts = [t[:SAMPLE_CHARS] for t in texts if t]
-    starters = learn_starters(texts)
     stripped = [" ".join(_STRIP.sub(" ", line).split()) for t in texts if regex.search(r"\p{Thai}", t) for line in t.splitlines()]
     blocks = [(b.places, [silver_label(q) for q in b.places]) for t in [*texts, *stripped] for b in parse(t, starters) if b.places and not b.item]
     weights: dict[str, float] = defaultdict(float)
@@ -455,7 +485,7 @@ def units(text: str | None, model: Model) -> list[tuple[int, int]]:
 
 
 def fit_on(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
-    """A model fitted on at most ``sample`` documents, those of least hash of id.
+    """A model with the starters of all documents, its weights fitted on at most ``sample``, those of least hash of id.
 
     The hash is cut off where about twice the sample is expected, so what reaches the driver doesn't grow with the table.
     """
@@ -463,7 +493,8 @@ def fit_on(documents: DataFrame, sample: int = SAMPLE_DOCS) -> Model:
     rows = documents.filter("text is not null").select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"), "doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
     if n > 2 * sample:
         rows = rows.filter(F.col("h") < int((1 << 32) * 2 * sample / n))
-    return fit([r.text for r in sorted(rows.limit(4 * sample).collect(), key=lambda r: (r.h, r.doc_id or 0, r.text))[:sample]])
+    texts = [r.text for r in sorted(rows.limit(4 * sample).collect(), key=lambda r: (r.h, r.doc_id or 0, r.text))[:sample]]
+    return fit(texts, corpus_starters(documents))
 
 
 def sentence_units(documents: DataFrame, model: Model | None = None) -> DataFrame:

@@ -122,3 +122,14 @@ def test_viterbi_against_all_taggings():
         return total
 
     assert score(model.decode(places)) == max(score(list(t)) for t in itertools.product((False, True), repeat=5))
+
+
+def test_starters_are_those_of_all_whole_documents(spark):
+    """Neither the sample of the weights nor its cut of long texts bounds them, and rare openings of a large corpus are none."""
+    texts = ["The rest was noise. " * 1100 + "What changed? Kefel rose.", "Kefel fell."] + ["Since May, all is well."] * 40 + ["Das gilt.", "Das gilt nicht.", ""]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    model = S.fit_on(docs, sample=3)
+    assert model.starters == S.learn_starters(texts) == {"the", "kefel", "since", "das"}
+    assert S.fit_on(docs.limit(0)).starters == frozenset()
+    many = docs.unionByName(spark.createDataFrame([("Since May. " + "\n\nThe end." * 29_999,)], "text string").selectExpr("100L AS doc_id", "text"))
+    assert S.corpus_starters(many) == {"the", "since"}
