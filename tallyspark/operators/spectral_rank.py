@@ -6,7 +6,8 @@ few. The matrix of normalised margins is skew-symmetric; its leading singular pl
 vectors stay distributed as arrays in a table of items: each step is one join of pairs and items, one sum per item, and
 one aggregate row of inner products (against all earlier vectors, so the basis stays orthogonal). Only coefficients
 reach the driver. In the plane, the direction without the constant part is taken as the start, and among all
-directions the one whose order agrees with most outcomes orients the ranking.
+directions the one whose order agrees with most outcomes orients the ranking: the angles at which pairs flip cut the turn
+into sectors of one order each, and a running sum of what each flip changes gives every sector's agreement.
 
 Pairs are kept partitioned by item between steps, lineage is cut by reliable checkpoints, and nothing is broadcast by
 hint. Memory on the driver is the square of the number of steps.
@@ -21,7 +22,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.engine.shared import durable, trimmed
@@ -30,8 +31,8 @@ from tallyspark.engine.shared import durable, trimmed
 MAX_STEPS, TOLERANCE = 40, 1e-7
 #: Wins added to either side of a pair, which keeps one-sided pairs finite.
 SHRINK = 0.5
-#: Directions tried over the full turn, and again between the best one's neighbours.
-DIRECTIONS = 72
+#: Decimals to which the angles at which a pair's order flips are told apart.
+ANGLE_DECIMALS = 12
 
 
 def counted_matches(matches: DataFrame) -> DataFrame:
@@ -111,8 +112,7 @@ def spectral_ranking(pairs: DataFrame) -> DataFrame:
     plane = durable(plane.select("item", "games", "wins", ((F.col("p2") * c1 - F.col("p1") * c2) / size * F.col("s")).alias("u"), ((F.col("p1") * c1 + F.col("p2") * c2) / size * F.col("s")).alias("v")))
     ends = pairs.join(plane.select(F.col("item").alias("a"), F.col("u").alias("ua"), F.col("v").alias("va")), "a").join(plane.select(F.col("item").alias("b"), F.col("u").alias("ub"), F.col("v").alias("vb")), "b")
     gaps = durable(ends.select((F.col("ua") - F.col("ub")).alias("du"), (F.col("va") - F.col("vb")).alias("dv"), "wins_a", "wins_b", "m"))
-    best = _best_direction(gaps, [2 * math.pi * k / DIRECTIONS for k in range(-DIRECTIONS // 2, DIRECTIONS // 2)])
-    best = _best_direction(gaps, [best + 2 * math.pi * k / DIRECTIONS / 10 for k in range(-9, 10)])
+    best = _best_direction(gaps)
     x = F.col("du") * math.cos(best) + F.col("dv") * math.sin(best)
     games = F.col("wins_a") + F.col("wins_b")
     up, down = gaps.agg(F.sum(games * F.col("m") * x), F.sum(games * x * x)).first()
@@ -123,11 +123,37 @@ def spectral_ranking(pairs: DataFrame) -> DataFrame:
     return _ranked(strengths)
 
 
-def _best_direction(gaps: DataFrame, angles: list[float]) -> float:
-    """The angle whose order agrees with most outcomes; of equals the nearest to 0."""
-    lean = lambda t: F.signum(F.col("du") * math.cos(t) + F.col("dv") * math.sin(t))
-    sums = gaps.agg(*[F.sum(lean(t) * (F.col("wins_a") - F.col("wins_b"))).alias(f"d{k}") for k, t in enumerate(angles)]).first()
-    return max(zip(sums, angles, strict=True), key=lambda x: (x[0] or 0, -abs(x[1])))[1]
+def _best_direction(gaps: DataFrame) -> float:
+    """The middle of the sector whose order agrees with most outcomes; of equals the nearest to 0.
+
+    Flips are sorted in ranges, so that no task holds all; sums and least angles of the ranges reach the driver.
+    """
+    turn = 2 * math.pi
+    lean = F.col("wins_a") - F.col("wins_b")
+    up = F.atan2(-F.col("du"), F.col("dv"))
+    flips = F.array(F.struct(up.alias("t"), (2 * lean).alias("change")), F.struct(F.when(up > 0, up - math.pi).otherwise(up + math.pi).alias("t"), (-2 * lean).alias("change")))
+    t = F.round("t", ANGLE_DECIMALS)
+    end = round(math.pi, ANGLE_DECIMALS)
+    changes = gaps.filter((F.col("du") != 0) | (F.col("dv") != 0)).select(F.inline(flips)).groupBy(F.when(t <= -end, end).otherwise(t).alias("t")).agg(F.sum("change").alias("change"))
+    parts = durable(changes.repartitionByRange("t").withColumn("part", F.spark_partition_id()))
+    ranges = parts.groupBy("part").agg(F.sum("change").alias("change"), F.min("t").alias("first"), F.max("t").alias("last")).orderBy("first").collect()
+    if not ranges:
+        return 0.0
+    first, last = ranges[0]["first"], ranges[-1]["last"]
+    around = (last + first + turn) / 2  # in the sector before the first flip
+    score = gaps.agg(F.sum(F.signum(F.col("du") * math.cos(around) + F.col("dv") * math.sin(around)) * lean)).first()[0]
+    before, following = [], []
+    for r, after in zip(ranges, [*(x["first"] for x in ranges[1:]), first + turn], strict=True):
+        before += [F.lit(r.part), F.lit(float(score))]
+        following += [F.lit(r.part), F.lit(after)]
+        score += r.change
+    w = Window.partitionBy("part").orderBy("t")
+    own = lambda pairs: F.element_at(F.create_map(*pairs), F.col("part"))
+    sectors = parts.select("t", (own(before) + F.sum("change").over(w)).alias("score"), F.coalesce(F.lead("t").over(w), own(following)).alias("to"))
+    middle = (F.col("t") + F.col("to")) / 2
+    middle = F.when(middle > math.pi, middle - turn).otherwise(middle)
+    far = F.greatest(F.abs(middle) - (F.col("to") - F.col("t")) / 2, F.lit(0.0))
+    return sectors.agg(F.max(F.struct("score", -far, middle.alias("middle"))).alias("best")).first().best.middle
 
 
 def _ranked(strengths: DataFrame) -> DataFrame:

@@ -87,3 +87,17 @@ def test_order_of_rows_doesnt_matter(spark, seed):
     random.Random(seed).shuffle(rows)
     b = {r.team_name: r.rank for r in R.rank_teams(matches(spark, rows + rows[:40]), teams(spark, [f"Team {k:02d}" for k in range(6)])).collect()}
     assert a == b
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_direction_agrees_with_most_outcomes(spark, seed):
+    """No order that a direction of the plane can give has more agreement; some sectors are narrower than any grid."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(40, 2)) * [1, 1e-3]
+    gaps = [(*(x[i] - x[j]).tolist(), int(rng.integers(9)), int(rng.integers(9)), 0.0) for i in range(40) for j in range(i)] + [(0.0, 0.0, 5, 1, 0.0)]
+    got = R._best_direction(spark.createDataFrame(gaps, "du double, dv double, wins_a long, wins_b long, m double"))
+    du, dv, a, b, _ = np.array(gaps).T
+    score = lambda t: (np.sign(du * math.cos(t) + dv * math.sin(t)) * (a - b)).sum()
+    flips = np.arctan2(-du, dv)[:-1]
+    flips = np.sort(np.concatenate([flips, flips + math.pi]) % (2 * math.pi))
+    assert score(got) == max(score(t) for t in (flips + np.append(flips[1:], flips[0] + 2 * math.pi)) / 2)
