@@ -10,7 +10,7 @@ directions the one whose order agrees with most outcomes orients the ranking: th
 into sectors of one order each, and a running sum of what each flip changes gives every sector's agreement.
 
 Pairs are kept partitioned by item between steps, lineage is cut by reliable checkpoints, and nothing is broadcast by
-hint. Memory on the driver is the square of the number of steps.
+hint. Memory on the driver is the square of the number of steps between restarts. A plane that doesn't converge raises.
 
 Defined results: comparisons without id, of an item with itself, or whose winner isn't one of the two don't count; of
 differing rows of one id the least counts; items that never met anyone in the largest connected part, and items whose
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from tallyspark.engine.shared import durable, trimmed
 
-#: Steps of the Lanczos iteration at most, and the relative residual of the plane at which it ends.
-MAX_STEPS, TOLERANCE = 40, 1e-7
+#: Steps of the Lanczos iteration between restarts from its plane, restarts at most, and the relative residual of the
+#: plane at which it ends.
+MAX_STEPS, MAX_RESTARTS, TOLERANCE = 40, 50, 1e-7
 #: Wins added to either side of a pair, which keeps one-sided pairs finite.
 SHRINK = 0.5
 #: Decimals to which the angles at which a pair's order flips are told apart.
@@ -90,6 +91,7 @@ def spectral_ranking(pairs: DataFrame) -> DataFrame:
     scaled = durable(scaled).repartition("other").persist()
     state = items.select("item", "games", "wins", "s", F.array(F.col("q0") * F.col("s") / F.lit(norm or 1.0)).alias("q"))
     betas: list[float] = []
+    restarts = 0
     try:
         while True:
             k = len(betas)
@@ -100,8 +102,15 @@ def spectral_ranking(pairs: DataFrame) -> DataFrame:
             beta = math.sqrt(max(square - sum(c * c for c in coefficients), 0.0))
             betas.append(beta)
             lead = _leading_plane(betas) if k else (np.zeros(1), np.zeros(1), 0.0, 1.0)
-            if beta <= 1e-9 or len(betas) >= min(MAX_STEPS, count) or (k and lead[3] <= TOLERANCE * max(lead[2], 1e-12)):
+            if beta <= 1e-9 or len(betas) >= count or (k and lead[3] <= TOLERANCE * max(lead[2], 1e-12)):
                 break
+            if len(betas) >= MAX_STEPS:
+                if restarts == MAX_RESTARTS:
+                    raise RuntimeError(f"the leading plane has a residual of {lead[3] / lead[2]:.1e} after {restarts} restarts")
+                restarts += 1
+                betas = []
+                state = state.select("item", "games", "wins", "s", F.array(_dot(lead[0])).alias("q"))
+                continue
             state = state.select("item", "games", "wins", "s", F.concat("q", F.array((F.col("w") - _dot(np.array(coefficients))) / beta)).alias("q"))
     finally:
         scaled.unpersist()

@@ -101,3 +101,15 @@ def test_direction_agrees_with_most_outcomes(spark, seed):
     flips = np.arctan2(-du, dv)[:-1]
     flips = np.sort(np.concatenate([flips, flips + math.pi]) % (2 * math.pi))
     assert score(got) == max(score(t) for t in (flips + np.append(flips[1:], flips[0] + 2 * math.pi)) / 2)
+
+
+def test_lanczos_goes_on_until_the_plane_holds(spark, monkeypatch):
+    _, rows = schedule(9, 1500, 2)
+    pairs = R.pair_wins(R.counted_matches(matches(spark, rows)))
+    whole = {r.item: r.strength for r in R.spectral_ranking(pairs).collect()}
+    monkeypatch.setattr(R, "MAX_STEPS", 6)
+    got = {r.item: r.strength for r in R.spectral_ranking(pairs).collect()}
+    assert got == pytest.approx(whole, abs=1e-4)
+    monkeypatch.setattr(R, "MAX_RESTARTS", 0)
+    with pytest.raises(RuntimeError, match="residual"):
+        R.spectral_ranking(pairs)
