@@ -113,7 +113,7 @@ def dominance(spark, d):
 
 
 def discover_insights(spark, d):
-    found = I.discover(table(spark, d, "sales_lines").select("region", "channel", "quantity", "unit_price", "sales", "profit"))["insights"]
+    found = I.discover(table(spark, d, "sales_lines"))["insights"]
     return spark.createDataFrame([(k, f["kind"], f["text"]) for k, f in enumerate(found)], "place int, kind string, text string")
 
 

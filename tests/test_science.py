@@ -188,3 +188,12 @@ def test_stream_drops_repeats_and_closes_windows(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "fresh")).count() == 41
     assert sorted(r.n for r in spark.read.parquet(str(tmp_path / "windows")).collect()) == [20, 20, 20, 20]
     assert [r.events for r in spark.read.parquet(str(tmp_path / "sessions")).collect()] == [80]
+
+
+def test_discovery_reads_all_columns(spark, monkeypatch):
+    from tallyspark.plans import science
+
+    seen = []
+    monkeypatch.setattr(science.I, "discover", lambda df: seen.append(df.columns) or {"insights": []})
+    science.discover_insights(spark, "/root/testdata/sf0.001")
+    assert {"order_date", "discount", "cogs"} <= set(seen[0])
