@@ -1,17 +1,8 @@
 import pytest
 
+from tallyspark.llm import labelled
 from tallyspark.llm import sentences as S
 
-TRAINING = [
-    "channel is text, not a number.\n\nchannel is text, not a number.",
-    "The desk closed the ticket. In the U.S. stores, margin rose by 4.2%. What changed? Nobody knew! After the load, Mr. Kefel wrote to Dr. Bo at 5 p.m. Since then it is fine.",
-    "In the north, it fell. Since June it rose. The rest was noise. After that, it rose! The end is near. Since May, all is well? In short, yes.",
-    "Der Lauf vom 3. Mai lieferte 28 Zeilen, d. h. rund 20 % mehr. Die Brücke schließt! Seit Version v2.1 steht der Stand. Die Quote stieg? Seit Mai fällt sie.",
-    "Il répondit : « Non. Attendez Q4. » Le lot est là. La table est prête ! Le reste vaut 1 250,75 unités.",
-    "我们来看。他问：“水位线设了吗？”表已重建。“不要相加！”数据组再次提醒。",
-    "返事は「いいえ。待ってください。」でした。差は約9.9ですが……再確認が必要です。",
-    "เราจะเทียบกับช่วงเดียวกันของปีก่อน ตาราง fct_sales ถูกสร้างใหม่เมื่อเช้านี้ ยังไม่มีใครยืนยันตัวเลขชุดนี้",
-]
 CASES = [
     ["It took 6 s.", "channel is text, not a number.", "The rest was noise!", "channel is text, see the channel list.", 'She noted: "It is off by 4.1%."', "channel is text.", "(It holds.)", "channel is text."],
     ["Mr. Pefa and Ms. Gin met at 5 p.m. on Fri. 2026-05-28, as agreed.", "The U.S. stores rose by 3.5%.", "After it, nobody knew!"],
@@ -33,7 +24,8 @@ GLUED = [
 
 @pytest.fixture(scope="module")
 def model():
-    return S.fit(TRAINING)
+    trained = S.trained_model()
+    return S.Model(trained.weights, trained.pairs, trained.starters | {"~channel", "after", "in", "since"})
 
 
 def cut(model, text):
@@ -81,17 +73,59 @@ def test_odd_texts(model):
     assert len(S.units(long, model)) == 20_000
 
 
-def test_held_out_accuracy(model):
-    """The fitted model repeats the silver labels on texts that it hasn't seen."""
-    text = " ".join(s for parts in CASES for s in parts)
-    places = [q for b in S.parse(text, model.starters) for q in b.places]
-    tags = [t for b in S.parse(text, model.starters) for t in model.decode(b.places)]
-    assert sum(t == S.silver_label(q) for t, q in zip(tags, places, strict=True)) >= 0.98 * len(places)
+#: Boundaries by hand in which the rules and a learnt model may differ: blanks within a sentence of the script without marks.
+HARD = [
+    ["เขาซื้อเชือก และกลับบ้าน", "วันนี้ร้านปิด"], ["ทีมงานอยากรอ แต่เรือออกแล้ว", "ราคาจึงลดลง"], ["งานล่าช้า เพราะฝนตก", "ยังไม่มีใครตอบ"], ["ช่วงบ่ายเขามาถึง", "พนักงานตรวจสินค้า และส่งรายงาน"],
+]
+
+
+def tagged(model, parts, gap):
+    """(tags by hand, by the model, by the rules) of a text made of the parts."""
+    text, ends = "", set()
+    for s in parts:
+        text += gap * bool(text) + s
+        ends.add(len(text))
+    from cascade import rule
+
+    blocks = S.parse(text, model.starters)
+    places = [q for b in blocks for q in b.places]
+    return [q.end in ends for q in places], [t for b in blocks for t in model.decode(b.places)], [rule(q) for q in places]
+
+
+def test_held_out_accuracy(model, monkeypatch):
+    """On sentences cut by hand that took no part in the fit the model is right at least as often as a rule cascade."""
+    import os
+
+    monkeypatch.syspath_prepend(os.path.dirname(__file__))
+    total = right = ruled = differ = 0
+    for parts, gap in [(p, " ") for p in CASES + HARD] + [(p, "") for p in GLUED]:
+        for hand, own, rule in zip(*tagged(model, parts, gap), strict=True):
+            total, right, ruled, differ = total + 1, right + (own == hand), ruled + (rule == hand), differ + (own != rule)
+    assert right >= 0.98 * total and right >= ruled and differ > 0
+
+
+def test_labelled_boundaries_are_places():
+    """Each boundary of the training text is one that the tagger may choose."""
+    for text, ends, language in labelled.paragraphs(20, 5):
+        places = {q.end for b in S.parse(text, labelled.openings()) for q in b.places}
+        missing = [e for e in ends[:-1] if e not in places]
+        assert not missing or language == "th", (text, missing)  # in Thai, blanks between other scripts are never free
+
+
+def test_stripping_keeps_boundaries():
+    text, ends = labelled.stripped("ab. (cd, 0.5) fct_x! e", [3, 20, 22])
+    assert text == "ab cd 0.5 fct_x e" and [text[:e] for e in ends] == ["ab", "ab cd 0.5 fct_x", text]
+
+
+def test_the_fit_is_repeatable():
+    some = [(t, e) for t, e, _ in labelled.paragraphs(6, 3)]
+    one, two = S.fit(some, labelled.openings()), S.fit(some, labelled.openings())
+    assert one == two and one.weights
 
 
 def test_frame(spark):
     docs = spark.createDataFrame([(1, "The rest was noise. In short, no.", "x"), (2, "The rest was noise. In short, no.", "x"), (3, None, "x"), (4, "", "x"), (None, "A.", "x")], "doc_id long, text string, start_char string")
-    got = sorted(tuple(r) for r in S.sentence_units(docs, S.fit(TRAINING)).collect())
+    got = sorted(tuple(r) for r in S.sentence_units(docs, S.trained_model()).collect())
     assert got == [(d, a, b) for d in (1, 2) for a, b in ((0, 19), (20, 33))]
     assert S.sentence_units(docs.limit(0)).collect() == []
     assert S.sentence_units(docs).count() >= 2
@@ -105,7 +139,7 @@ def test_viterbi_against_all_taggings():
     class Place:
         def __init__(self, end, f):
             self.end, self.f = end, f
-            self.kind, self.before, self.after, self.gap, self.quote = "".join(f), "", "", "", ""
+            self.kind, self.before, self.after, self.gap, self.quote, self.left, self.right = "".join(f), "", "", "", "", "", ""
 
         def features(self):
             return self.f
@@ -125,11 +159,10 @@ def test_viterbi_against_all_taggings():
 
 
 def test_starters_are_those_of_all_whole_documents(spark):
-    """Neither the sample of the weights nor its cut of long texts bounds them, and rare openings of a large corpus are none."""
-    texts = ["The rest was noise. " * 1100 + "What changed? Kefel rose.", "Kefel fell."] + ["Since May, all is well."] * 40 + ["Das gilt.", "Das gilt nicht.", ""]
+    """No text is cut, list items and codes begin no sentence, and rare openings of a large corpus are none."""
+    texts = ["The rest was noise. " * 1100 + "What changed? Kefel rose.", "Kefel fell.", "Q2 rose.", "- Lamps", "- Lamps"] + ["Since May, all is well."] * 40 + ["Das gilt.", "Das gilt nicht.", ""]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
-    model = S.fit_on(docs, sample=3)
-    assert model.starters == S.learn_starters(texts) == {"the", "kefel", "since", "das"}
-    assert S.fit_on(docs.limit(0)).starters == frozenset()
+    assert S.corpus_starters(docs) == {"the", "kefel", "since", "das"}
+    assert S.model_for(docs.limit(0)).starters == S.trained_model().starters
     many = docs.unionByName(spark.createDataFrame([("Since May. " + "\n\nThe end." * 29_999,)], "text string").selectExpr("100L AS doc_id", "text"))
     assert S.corpus_starters(many) == {"the", "since"}
