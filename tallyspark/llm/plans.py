@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.engine.shared import table
 from tallyspark.llm import leakage, packing, sentences
@@ -20,6 +21,12 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return packing.split_documents(p6_packing(spark, d))
 
 
+def p6_report(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of each budget beside a certified lower bound and what plain largest first needs."""
+    r = packing.packing_report(table(spark, d, "documents"), table(spark, d, "context_budgets"))
+    return r.select("budget_name", "capacity_tokens", "n_full", "n_packed", "n_by_program", "n_largest_first", F.round("bound", 4).alias("bound"), F.round("plain_volume", 4).alias("plain_volume"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Leaked items with the documents they leaked into."""
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -31,7 +38,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_packing": p6_packing, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

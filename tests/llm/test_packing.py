@@ -1,4 +1,6 @@
+import math
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -61,6 +63,54 @@ def test_empty_tables_and_odd_budgets(spark):
         P.pack(spark.createDataFrame([(1, "a")], "doc_id long, text string"), budgets)
 
 
+def normal(seed, capacity, n):
+    rng = random.Random(seed)
+    sizes = [min(capacity, max(1, int(rng.lognormvariate(math.log(capacity / 8), 1.1)))) for _ in range(n)]
+    return dict(Counter(sizes))
+
+
+@pytest.mark.parametrize("scale", [1, 10, 1000])
+@pytest.mark.parametrize("capacity", [512, 3000, 20_000])
+def test_never_worse_than_largest_first_and_led_by_the_program(capacity, scale):
+    histogram = {x: n * scale for x, n in normal(capacity, capacity, 1500).items()}
+    plan = P.make_plan(histogram, capacity)
+    assert plan.bound <= plan.containers <= plan.largest_first
+    assert plan.by_program > 0.2 * plan.containers or plan.containers - plan.bound < 1.5
+    assert sum(x * n for x, n in histogram.items()) / capacity <= plan.bound + 1e-9
+
+
+def test_bound_is_above_volume_where_volume_is_loose():
+    histogram = {1300: 500, 1301: 300, 1100: 50, 90: 200}
+    plan = P.make_plan(histogram, 2048)
+    assert plan.bound == pytest.approx(850) and plan.containers == 850
+    thirds = P.make_plan({690: 900}, 2048)  # two fit, not three
+    assert thirds.bound == pytest.approx(450) and thirds.containers == 450
+
+
+def test_program_is_solved_to_its_gap():
+    """The value of the patterns is within the stated gap of the optimum that a large number of rounds reaches."""
+    lengths, counts = np.array([30, 41, 52, 70]), np.array([400, 300, 200, 100])
+    patterns, amounts, bound, group = P.solve_lp(lengths, counts, 100)
+    covered = sum(a * np.array([p.get(k, 0) for k in range(group.max() + 1)]) for p, a in zip(patterns, amounts))
+    assert (covered >= np.bincount(group, counts) - 1e-6).all()
+    assert bound <= amounts.sum()
+
+
+def test_large_capacities_are_planned_in_time():
+    began = time.perf_counter()
+    histogram = {int(x): 3 for x in np.random.default_rng(1).integers(1, 1 << 20, 20_000)}
+    plan = P.make_plan(histogram, 1 << 20)
+    assert plan.containers <= plan.largest_first and time.perf_counter() - began < 60
+
+
+def test_report(spark):
+    docs = spark.createDataFrame([(1, "a" * 250), (2, "b" * 40), (3, None)], "doc_id long, text string")
+    budgets = spark.createDataFrame([("b", "byt5", 100)], "budget_name string, tokenizer_name string, capacity_tokens long")
+    r = P.packing_report(docs, budgets).first()
+    assert (r.n_full, r.n_packed, r.n_largest_first, r.bound, r.plain_volume) == (2, 1, 1, 1.0, 0.93)
+    assert P.packing_report(docs.limit(0), budgets).collect() == [] and P.packing_report(docs, budgets.limit(0)).collect() == []
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 60), st.integers(1, 40), min_size=1, max_size=25))
 def test_plans_hold_every_item_and_bound_holds(histogram):
