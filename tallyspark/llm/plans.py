@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from tallyspark.engine.shared import table
 from tallyspark.llm import leakage, packing, sentences
 
+#: Edits that p7_edited allows in a run.
+EDITS = 2
+
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for every budget."""
@@ -32,13 +35,18 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_edited(spark: SparkSession, d: str) -> DataFrame:
+    """Leaked items with the documents they leaked into, runs with up to two edits included."""
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"), max_errors=EDITS)
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     """Every sentence, heading and list item of every document."""
     return sentences.sentence_units(table(spark, d, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -108,3 +108,51 @@ def test_error_budget(errors):
     for k in range(20):
         run_[3 + 4 * k] = "z"
     assert matcher.leaked("q" * 50 + "".join(run_) + "q" * 50) == []
+
+
+def prefix_reach(pattern, text, errors):
+    """The definition of reach by the full table of distances."""
+    d = [[i + j if i == 0 or j == 0 else 0 for j in range(len(text) + 1)] for i in range(len(pattern) + 1)]
+    for i in range(1, len(pattern) + 1):
+        for j in range(1, len(text) + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (pattern[i - 1] != text[j - 1]), d[i - 1][j] + 1, d[i][j - 1] + 1)
+    return [max(i for i in range(len(pattern) + 1) if min(d[i]) <= e) for e in range(errors + 1)]
+
+
+def test_reach_against_the_full_table():
+    rng = random.Random(9)
+    for _ in range(600):
+        p, t = "".join(rng.choices("ab", k=rng.randint(0, 25))), "".join(rng.choices("abc", k=rng.randint(0, 30)))
+        k = rng.randint(0, 4)
+        assert L.reach(len(p), L.char_masks(p), t, k) == prefix_reach(p, t, k)
+
+
+@pytest.mark.parametrize("errors", [0, 1, 3])
+def test_planted_edits_against_brute_force(spark, monkeypatch, errors):
+    """Every planted run within the budget is found, and nothing that the definition doesn't give."""
+    monkeypatch.setattr(L, "RUN", 40)
+    rng = random.Random(10 + errors)
+    items = [(k, "en", "".join(rng.choices("abcdefgh", k=rng.randint(60, 120)))) for k in range(8)]
+    docs, planted = [], set()
+    for k in range(60):
+        i, _, text = rng.choice(items)
+        at, n = rng.randint(0, len(text) - 40), rng.randint(0, 5)
+        part = list(text[at : at + 40])
+        for _ in range(n):
+            where = rng.randrange(len(part))
+            part[where : where + 1] = rng.choice([["z"], [], [part[where], "z"]])
+        docs.append((k, "".join(rng.choices("abcdefgh", k=50)) + "".join(part) + "".join(rng.choices("abcdefgh", k=50))))
+        if n <= errors:
+            planted.add((i, k))
+    i, d = spark.createDataFrame([(*r, 7, "clash") for r in items], ITEMS), spark.createDataFrame([(*r, 7, "clash") for r in docs], DOCS)
+    got = {tuple(r) for r in L.leaked_items(d, i, errors).collect()}
+    want = {(i, k) for i, _, text in items for k, body in docs if any(L.myers_distance(text[a : a + 40], body) <= errors for a in range(len(text) - 39))}
+    assert got == want and planted <= got and planted
+
+
+def test_one_id_with_texts_in_several_blocks_is_reported_once(spark, monkeypatch):
+    rng = random.Random(11)
+    items = [(7, "en", words(rng, 40)) for _ in range(6)]
+    docs = [(1, " ".join(t for _, _, t in items)), (1, items[0][2])]
+    monkeypatch.setattr(L, "BLOCK_CHARS", 300)
+    assert run(spark, items, docs) == [(7, 1)]
