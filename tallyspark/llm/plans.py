@@ -1,4 +1,4 @@
-"""Queries of the text operators (p6 to p8)."""
+"""Queries of the llm operators (p3 and p6 to p8)."""
 
 from __future__ import annotations
 
@@ -8,12 +8,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.engine.shared import table
-from tallyspark.llm import leakage, packing, sentences
+from tallyspark.llm import leakage, packing, sentences, spectral_rank
 
 #: Edits that p7_edited allows in a run.
 EDITS = 2
 
 
+def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
+    """Every team with its strength, rank and connected part."""
+    return spectral_rank.rank_teams(table(spark, d, "matches"), table(spark, d, "teams"))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """The ten strongest teams."""
+    return p3_ranking(spark, d).orderBy("rank").limit(10).select("team_name")
+
+
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every piece of every document with its container, for every budget."""
     return packing.pack(table(spark, d, "documents"), table(spark, d, "context_budgets"))
@@ -46,11 +56,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
+    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": p6_found, "p6_packing": p6_packing, "p6_report": p6_report, "p7_found": p7_found, "p7_edited": p7_edited, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p6_found": P6}
+    return {"p3_found": p3_found, "p3_ranking": p3_ranking, "p6_found": P6}
 
 
 P6 = """
