@@ -1,4 +1,4 @@
-"""Queries of the general training-data operators (p1 to p5)."""
+"""Queries of the general training-data operators (p1, p2, p4 and p5)."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.engine.shared import table
-from tallyspark.operators import instants, schema_drift, spectral_rank, value_counts, wide
+from tallyspark.operators import instants, schema_drift, value_counts, wide
 from tallyspark.plans import training_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,16 +37,6 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
     return p.select(*keep, *[(F.round(c, n) + F.lit(0.0)).alias(c) for c, n in (("mean", 4), ("deviation", 4), ("entropy", 6), ("shift", 6))])
 
 
-def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """Every team with its strength and rank."""
-    return spectral_rank.rank_teams(table(spark, d, "matches"), table(spark, d, "teams"))
-
-
-def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """The ten strongest teams."""
-    return p3_ranking(spark, d).filter("rank <= 10").select("team_name")
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Every schema change between consecutive loads."""
     return schema_drift.schema_changes(table(spark, d, "catalog_tables"), table(spark, d, "raw_records")).filter("change_kind <> 'moved'")
@@ -63,5 +53,5 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return instants.event_instants(table(spark, d, "trace_rows"), table(spark, d, "time_contracts"))
 
 
-QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile, "p3_found": p3_found, "p3_ranking": p3_ranking, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
+QUERIES: dict[str, Query] = {"p1_found": p1_found, "p1_wide": p1_wide, "p2_found": p2_found, "p2_profile": p2_profile, "p4_found": p4_found, "p4_unified": p4_unified, "p5_found": p5_found}
 SQL: dict[str, str] = {"p1_found": training_sql.P1, "p2_found": training_sql.P2, "p2_profile": training_sql.P2_PROFILE, "p4_found": training_sql.P4}
