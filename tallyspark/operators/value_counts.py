@@ -2,22 +2,23 @@
 
 For every dataset, column and value a table holds how many rows of the newest load carry the value. A load is applied as
 signed deltas (its count of a value less the maintained one), and every profile figure - null share, distinct values,
-range, mean and deviation, entropy, shift against the load before - is derived exactly from maintained counts and
-deltas; rows are read once. ``ValueCountStore`` keeps the table between runs as versioned Parquet;
-``maintained_history`` replays all loads of a table in one pass with the same algebra (+n when a load comes, -n at the
-next), which is what the queries use.
+range, mean and deviation, entropy, rows that break the statement, shift against the load before - is derived by
+``figures`` from maintained counts and deltas alone. ``ValueCountStore`` keeps the table between runs as versioned
+Parquet on any file system that Spark reads and applies load by load; ``maintained`` replays all loads of a table in one
+pass with the same algebra, which is what the queries use. Both hand the same rows to ``figures``.
 
-Counts are combined on the map side before the shuffle, so a value that a third of all rows share costs one partial row
-per task. Columns are unpivoted to text; numbers are read back from it.
+Rows are counted where they are read, before anything is joined or tested: counts are combined on the map side, so a value
+that a third of all rows share costs one partial row per task, and patterns are tested once per distinct value and load.
+Columns are unpivoted to text; numbers are read back from it.
 
 Defined results: a null value is counted as a value of its own (value null); repeated rows count as they lie; a column
 with no non-null value has null range, mean and entropy 0; rows without dataset or load don't count; an empty table has
-no profile. Only declared and named columns are read.
+no profile. Only declared and named columns are read. A load that the maintained table has no predecessor of (number one
+less) has no prev_* figures and no shift.
 """
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,31 +43,24 @@ def counting_registrations(catalog: DataFrame) -> DataFrame:
     return newest.select(*KEY, F.col("r.row_count").alias("row_count"), F.from_json("r.columns_json", SPEC).alias("spec"))
 
 
-def value_counts(rows: DataFrame, columns: list[str], marks: dict[str, Column] | None = None) -> DataFrame:
-    """(dataset_name, load_no, column_name, value, n, marked): how many rows hold each value of each column.
-
-    marks: for some columns a condition that depends on the value and its load only; marked tells whether it holds.
-    """
-    off = F.lit(False)
-    pairs = F.array(*[
-        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value"), F.coalesce((marks or {}).get(c, off), off).alias("marked"))
-        for c in columns
-    ])
+def value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(dataset_name, load_no, column_name, value, n): how many rows hold each value of each column."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
     long = rows.filter("dataset_name is not null and load_no is not null").select(*KEY, F.inline(pairs))
-    return long.groupBy(*KEY, "column_name", "value").agg(F.count(F.lit(1)).alias("n"), F.max("marked").alias("marked"))
+    return long.groupBy(*KEY, "column_name", "value").agg(F.count(F.lit(1)).alias("n"))
 
 
 def signed_deltas(counts: DataFrame) -> DataFrame:
-    """(dataset_name, column_name, value, load_no, delta, marked): each load's change of the count of a value.
+    """(dataset_name, column_name, value, load_no, delta): each load's change of the count of a value.
 
-    A value of load k adds n at k and takes n away at k + 1; marked is that of load k.
+    A value of load k adds n at k and takes n away at k + 1.
     """
     steps = F.array(
-        F.struct(F.col("load_no").alias("load_no"), F.col("n").alias("delta"), F.col("marked").alias("marked")),
-        F.struct((F.col("load_no") + 1).cast("int").alias("load_no"), (-F.col("n")).alias("delta"), F.lit(False).alias("marked")),
+        F.struct(F.col("load_no").alias("load_no"), F.col("n").alias("delta")),
+        F.struct((F.col("load_no") + 1).cast("int").alias("load_no"), (-F.col("n")).alias("delta")),
     )
     moved = counts.select("dataset_name", "column_name", "value", F.inline(steps))
-    return moved.groupBy("dataset_name", "column_name", "value", "load_no").agg(F.sum("delta").alias("delta"), F.max("marked").alias("marked"))
+    return moved.groupBy("dataset_name", "column_name", "value", "load_no").agg(F.sum("delta").alias("delta"))
 
 
 def maintained_history(counts: DataFrame) -> DataFrame:
@@ -75,28 +69,52 @@ def maintained_history(counts: DataFrame) -> DataFrame:
     return signed_deltas(counts).withColumn("n", F.sum("delta").over(w)).withColumn("before", F.col("n") - F.col("delta"))
 
 
+def maintained(counts: DataFrame) -> DataFrame:
+    """``maintained_history`` with one array per value instead of a sort: (dataset_name, column_name, value, load_no, n, delta).
+
+    A value's array is as long as there are loads that hold it.
+    """
+    held = counts.groupBy("dataset_name", "column_name", "value").agg(F.map_from_entries(F.collect_list(F.struct("load_no", "n"))).alias("at"))
+    loads = F.map_keys("at")
+    touched = F.array_union(loads, F.transform(loads, lambda k: (k + 1).cast("int")))
+    zero = F.lit(0).cast("long")
+    count = lambda k: F.coalesce(F.try_element_at("at", k), zero)
+    steps = F.transform(touched, lambda k: F.struct(k.alias("load_no"), count(k).alias("n"), (count(k) - count((k - 1).cast("int"))).alias("delta")))
+    return held.select("dataset_name", "column_name", "value", F.inline(steps))
+
+
 class ValueCountStore:
     """Persistent value–count table of one kind of rows: each applied load makes a new version of it.
 
-    folder must be shared by all executors. Versions are written to a new directory and then named in a pointer file,
-    so a failed run leaves the version before. A load that is already applied is refused.
+    folder must be shared by all executors; it may lie on any file system that Spark knows. Versions are written to a new
+    directory that a rename then numbers, so a failed run leaves the version before. A load that is already applied is
+    refused.
     """
 
     def __init__(self, spark: SparkSession, folder: str, columns: list[str]) -> None:
-        self.spark, self.folder, self.columns = spark, folder.removeprefix("file://"), list(columns)
-
-    def _pointer(self) -> str:
-        return os.path.join(self.folder, "CURRENT")
+        self.spark, self.folder, self.columns = spark, folder.rstrip("/"), list(columns)
+        jvm = spark.sparkContext._jvm
+        self._path = jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _version(self) -> str | None:
+        """The newest version's directory."""
+        if not self._fs.exists(self._path(self.folder)):
+            return None
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.folder))]
+        return max((n for n in names if n.startswith("current-")), default=None, key=lambda n: int(n.split("-")[1]))
 
     def current(self) -> DataFrame | None:
         """(dataset_name, column_name, value, load_no, n) of the newest load of each dataset."""
-        if not os.path.exists(self._pointer()):
-            return None
-        with open(self._pointer()) as f:
-            return self.spark.read.parquet(os.path.join(self.folder, f.read().strip()))
+        newest = self._version()
+        return None if newest is None else self.spark.read.parquet(f"{self.folder}/{newest}")
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """Apply one load per dataset; returns the signed deltas (dataset_name, column_name, value, load_no, delta)."""
+        """Apply one load per dataset; returns its signed deltas (dataset_name, column_name, value, load_no, delta)."""
+        return self.changes(rows).filter("delta <> 0").drop("n")
+
+    def changes(self, rows: DataFrame) -> DataFrame:
+        """Apply one load per dataset; returns (dataset_name, column_name, value, load_no, n, delta) of all values it or the load before holds."""
         counts = value_counts(rows, self.columns)
         loads = counts.groupBy("dataset_name").agg(F.max("load_no").alias("load_no"), F.min("load_no").alias("first"))
         if loads.filter("first <> load_no").limit(1).count():
@@ -104,7 +122,7 @@ class ValueCountStore:
         old = self.current()
         new = counts.select("dataset_name", "column_name", "value", F.col("n").alias("n1"))
         if old is None:
-            deltas = new.select("dataset_name", "column_name", "value", F.col("n1").alias("delta"), F.col("n1").alias("n"))
+            changed = new.select("dataset_name", "column_name", "value", F.col("n1").alias("delta"), F.col("n1").alias("n"))
         else:
             seen = old.groupBy("dataset_name").agg(F.max("load_no").alias("seen"))
             if loads.join(seen, "dataset_name").filter("load_no <= seen").limit(1).count():
@@ -112,20 +130,21 @@ class ValueCountStore:
             kept = old.join(loads.select("dataset_name"), "dataset_name", "left_semi").select("dataset_name", "column_name", "value", F.col("n").alias("n0"))
             key = [new[c].eqNullSafe(kept[c]) for c in ("dataset_name", "column_name", "value")]
             both = new.join(kept, key, "full")
-            deltas = both.select(
+            changed = both.select(
                 *[F.coalesce(new[c], kept[c]).alias(c) for c in ("dataset_name", "column_name", "value")],
                 (F.coalesce("n1", F.lit(0)) - F.coalesce("n0", F.lit(0))).alias("delta"), F.coalesce("n1", F.lit(0)).alias("n"),
             )
-        deltas = durable(deltas.join(loads.select("dataset_name", "load_no"), "dataset_name"))
-        state = deltas.filter("n > 0").select("dataset_name", "column_name", "value", "load_no", "n")
+        changed = durable(changed.join(loads.select("dataset_name", "load_no"), "dataset_name"))
+        state = changed.filter("n > 0").select("dataset_name", "column_name", "value", "load_no", "n")
         if old is not None:
             state = old.select(*state.columns).join(loads.select("dataset_name"), "dataset_name", "left_anti").unionByName(state)
-        name = f"v-{uuid.uuid4().hex}"
-        state.write.parquet(os.path.join(self.folder, name))
-        with open(self._pointer() + ".new", "w") as f:
-            f.write(name)
-        os.replace(self._pointer() + ".new", self._pointer())
-        return deltas.filter("delta <> 0").drop("n")
+        newest = self._version()
+        number = 1 + (int(newest.split("-")[1]) if newest else 0)
+        written = f"{self.folder}/new-{uuid.uuid4().hex}"
+        state.write.parquet(written)
+        if not self._fs.rename(self._path(written), self._path(f"{self.folder}/current-{number}")):
+            raise OSError(f"version {number} can't be put in place")
+        return changed.select("dataset_name", "column_name", "value", "load_no", "n", "delta")
 
 
 def _bound(comment: Column, group: int) -> Column:
@@ -133,99 +152,98 @@ def _bound(comment: Column, group: int) -> Column:
     return F.when(text != "", text)
 
 
-def _statements() -> Column:
-    """What the registration's comments state, by column: a pattern, or bounds as text and as numbers."""
-    listed = F.transform("spec", lambda s: s["name"])
-    first = F.filter("spec", lambda s, i: s["name"].isNotNull() & (F.array_position(listed, s["name"]) == i + 1))
-    stated = F.filter(first, lambda s: s["comment"].startswith("pattern ") | s["comment"].startswith("range "))
+def specifications(registered: DataFrame) -> DataFrame:
+    """One row per listed column of a load: what the registration says, its pattern and its bounds as text and numbers."""
+    listed = registered.select(*KEY, "row_count", F.posexplode("spec").alias("at", "s")).filter("s.name is not null")
+    first = listed.groupBy(*KEY, "row_count", F.col("s.name").alias("column_name")).agg(F.min_by("s", "at").alias("s"))
+    comment = F.col("s.comment")
+    pattern = F.regexp_extract(comment, r"^pattern\s+(.*)$", 1)
+    low, high = _bound(comment, 1), _bound(comment, 2)
+    return first.select(
+        *KEY, "row_count", "column_name", F.col("s.semantic_type").alias("semantic_type"), F.col("s.is_nullable").alias("is_nullable"), F.regexp_extract(comment, r"^(pattern|range)\s", 1).alias("off_rule"),
+        F.when(pattern != "", F.concat(F.lit("^(?:"), pattern, F.lit(")$"))).alias("pattern"), low.alias("low_text"), high.alias("high_text"), low.try_cast("double").alias("low_number"), high.try_cast("double").alias("high_number"),
+    )
 
-    def one(s: Column) -> Column:
-        pattern = F.regexp_extract(s["comment"], r"^pattern\s+(.*)$", 1)
-        low, high = _bound(s["comment"], 1), _bound(s["comment"], 2)
-        return F.struct(
-            F.when(pattern != "", F.concat(F.lit("^(?:"), pattern, F.lit(")$"))).alias("pattern"), low.alias("low"), high.alias("high"),
-            low.try_cast("double").alias("low_number"), high.try_cast("double").alias("high_number"),
-        )
 
-    return F.map_from_entries(F.transform(stated, lambda s: F.struct(s["name"], one(s))))
+#: Listed columns of all loads up to which specifications are broadcast, and distinct patterns that are compiled once each.
+BROADCAST_SPECS, COMPILED_PATTERNS = 50_000, 500
 
 
-def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """A profile of every listed column of every load of the datasets that ``rows`` hold.
+def _matches(patterns: list[str]) -> Column:
+    """Whether value matches its row's pattern; known patterns are constants, so that each is compiled once."""
+    out = F.regexp_like("value", "pattern")
+    for p in patterns:
+        out = F.when(F.col("pattern") == p, F.col("value").rlike(p)).otherwise(out)
+    return out
 
-    Columns: dataset_name, load_no, column_name, semantic_type, is_nullable, row_count (declared), n_rows, n_null,
-    n_distinct, min_value, max_value (of numbers and dates), min_length, max_length (of other text), mean, deviation
-    (population), entropy (nats), n_off (rows that break the comment, by rule ``off_rule``: pattern or range), shift (half
-    the sum of share differences against the load before), filled, and prev_* figures of that load.
 
-    The replayed table after a load is that load's counts, so figures come straight from them; only the shift of
-    categorical columns looks at deltas, and only their few values are replayed for it.
+def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """All profile figures of every load and listed column, from rows (dataset_name, column_name, value, load_no, n, delta).
+
+    kinds: the type of each column. Rows of n = 0, values that a load no longer holds, count for the shift only.
     """
-    kinds = dict(rows.dtypes)
-    names = columns or [c for c in rows.columns if c not in (*KEY, "loaded_at")]
-    numeric = [c for c in names if kinds[c].startswith("decimal") or kinds[c] in NUMERIC_TYPES]
-    dates = [c for c in names if kinds[c] == "date"]
-    registered = counting_registrations(catalog)
-    # one condition per column, so each keeps its compiled pattern from row to row
-    marks = {}
-    for c in names:
-        x, said = F.col(f"`{c}`"), F.element_at("_stated", c)
-        ends = (x < said["low_number"]) | (x > said["high_number"]) if c in numeric else (x.cast("string") < said["low"]) | (x.cast("string") > said["high"])
-        marks[c] = x.isNotNull() & (F.coalesce(~F.regexp_like(x.cast("string"), said["pattern"]), F.lit(False)) | F.coalesce(ends, F.lit(False)))
-    stated = registered.select(*KEY, _statements().alias("_stated"))
-    joined = rows.select(*KEY, *names).join(stated, list(KEY), "left")
-    # the join's partitioning by load is hidden, else the counts of a hot load would stay in one task; so AQE may split it
-    counts = value_counts(joined.withColumn("dataset_name", F.concat("dataset_name", F.lit(""))), names, marks)
-    value = F.col("value")
-    of = lambda own, c: F.when(F.col("column_name").isin(*own), c) if own else F.lit(None).cast("double")
-    number = F.coalesce(of(numeric, value.try_cast("double")), of(dates, F.unix_date(value.try_cast("date")).cast("double")))
-    measured = of(numeric, value.try_cast("double"))
-    n = F.when(value.isNotNull(), F.col("n"))
-    length = F.when(F.col("column_name").isin(*[c for c in names if c not in numeric and c not in dates] or [""]), F.length("value"))
+    numeric = [c for c, k in kinds.items() if k.startswith("decimal") or k in NUMERIC_TYPES]
+    dates = [c for c, k in kinds.items() if k == "date"]
+    text = [c for c in kinds if c not in numeric and c not in dates]
+    at = [*KEY, "column_name"]
+    known = durable(specs)
+    size = known.count()
+    patterns = [r.pattern for r in known.filter("pattern is not null").select("pattern").distinct().limit(COMPILED_PATTERNS + 1).collect()]
+    stated = known.select(*at, "pattern", "low_text", "high_text", "low_number", "high_number")
+    joined = changes.join(F.broadcast(stated) if size <= BROADCAST_SPECS else stated, at, "left")
+    value, is_number = F.col("value"), F.col("column_name").isin(*numeric) if numeric else F.lit(False)
+    is_date, is_text = F.col("column_name").isin(*dates) if dates else F.lit(False), F.col("column_name").isin(*text) if text else F.lit(False)
+    measured = F.when(is_number, value.try_cast("double"))
+    number = F.coalesce(measured, F.when(is_date, F.unix_date(value.try_cast("date")).cast("double")))
+    outside = F.when(is_number, (measured < F.col("low_number")) | (measured > F.col("high_number"))).otherwise((value < F.col("low_text")) | (value > F.col("high_text")))
+    unlike = F.when(F.col("pattern").isNotNull(), ~_matches(patterns if len(patterns) <= COMPILED_PATTERNS else []))
+    off = value.isNotNull() & (F.coalesce(unlike, F.lit(False)) | F.coalesce(outside, F.lit(False)))
+    held = F.col("n") > 0
+    n = F.when(value.isNotNull() & held, F.col("n"))
     # all buffers are numbers, so this stays a hash aggregate
-    figures = counts.groupBy(*KEY, "column_name").agg(
+    sums = joined.groupBy(*at).agg(
         F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(value.isNull(), F.col("n"))), F.lit(0)).alias("n_null"), F.count(n).alias("n_distinct"),
-        F.min(number).alias("low"), F.max(number).alias("high"), F.min(length).alias("min_length"), F.max(length).alias("max_length"),
-        F.sum(n * measured).alias("total"), F.sum(n * measured * measured).alias("squares"), F.sum(n * F.log(n)).alias("nlogn"),
-        F.coalesce(F.sum(F.when(F.col("marked"), F.col("n"))), F.lit(0)).alias("n_off"),
-    ).withColumn("filled", F.col("n_rows") - F.col("n_null"))
+        F.min(F.when(held, number)).alias("low"), F.max(F.when(held, number)).alias("high"), F.min(F.when(held & is_text, F.length("value"))).alias("min_length"), F.max(F.when(held & is_text, F.length("value"))).alias("max_length"),
+        F.sum(n * measured).alias("total"), F.sum(n * measured * measured).alias("squares"), F.sum(n * F.log(n)).alias("nlogn"), F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0)).alias("n_off"),
+    ).filter("n_rows > 0").withColumn("filled", F.col("n_rows") - F.col("n_null"))
+    ends = changes.filter(is_text & held & value.isNotNull()).groupBy(*at).agg(F.min("value").alias("first_text"), F.max("value").alias("last_text"))
     flat = F.col("low") == F.col("high")
-    is_number = F.col("column_name").isin(*numeric) if numeric else F.lit(False)
     variance = F.try_divide(F.col("squares") - F.try_divide(F.col("total") * F.col("total"), F.col("filled")), F.col("filled"))
-    shown = lambda c: F.when(is_number, F.col(c).cast("string")).otherwise(F.date_from_unix_date(F.col(c).cast("int")).cast("string"))
-    figures = durable(figures.select(
-        *KEY, "column_name", "n_rows", "n_null", "filled", "n_distinct", shown("low").alias("min_value"), shown("high").alias("max_value"), "min_length", "max_length",
+    shown = lambda c, t: F.when(is_number, F.col(c).cast("string")).when(is_text, F.col(t)).otherwise(F.date_from_unix_date(F.col(c).cast("int")).cast("string"))
+    own = durable(sums.join(ends, at, "left").select(
+        *at, "n_rows", "n_null", "filled", "n_distinct", shown("low", "first_text").alias("min_value"), shown("high", "last_text").alias("max_value"), "min_length", "max_length",
         # equal values have exactly their mean and no spread, whatever their sums round to
         F.when(is_number, F.when(flat, F.col("low")).otherwise(F.try_divide("total", "filled"))).alias("mean"),
         F.when(is_number, F.when(flat, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))).alias("deviation"),
         F.when(F.col("filled") > 0, F.greatest(F.log("filled") - F.col("nlogn") / F.col("filled"), F.lit(0.0))).otherwise(0.0).alias("entropy"), "n_off",
     ))
-
-    specs = registered.select(*KEY, "row_count", F.explode("spec").alias("s")).select(
-        *KEY, "row_count", F.col("s.name").alias("column_name"), F.col("s.semantic_type").alias("semantic_type"), F.col("s.is_nullable").alias("is_nullable"), F.regexp_extract("s.comment", r"^(pattern|range)\s", 1).alias("off_rule")
-    ).dropDuplicates([*KEY, "column_name"])
-    prev = figures.select(
-        "dataset_name", (F.col("load_no") + 1).cast("int").alias("load_no"), "column_name",
-        *[F.col(c).alias(f"prev_{c}") for c in ("n_rows", "n_null", "filled", "n_distinct", "mean", "deviation")],
-    )
-    at = [*KEY, "column_name"]
-    both = specs.join(figures, at).join(prev, at, "left")
-    here = rows.select("dataset_name").distinct()
-    categories = registered.join(here, "dataset_name", "left_semi").select(F.explode("spec").alias("s")).filter("s.semantic_type = 'DIMENSION_CATEGORICAL'").select("s.name").distinct().filter(F.col("name").isin(*names))
-    known = sorted(r.name for r in categories.collect())  # at most the columns of the table
+    listed = known.select(*at, "row_count", "semantic_type", "is_nullable", "off_rule")
+    prev = own.select("dataset_name", (F.col("load_no") + 1).cast("int").alias("load_no"), "column_name", *[F.col(c).alias(f"prev_{c}") for c in ("n_rows", "n_null", "filled", "n_distinct", "mean", "deviation")])
+    both = durable(listed.join(own, at).join(prev, at, "left"))
     shares = both.filter("semantic_type = 'DIMENSION_CATEGORICAL' and filled > 0 and prev_filled > 0").select(*at, "filled", "prev_filled")
-    if known:
-        replayed = maintained_history(value_counts(rows, known)).filter("value is not null")
-        moved = F.abs(F.col("n") / F.col("filled") - F.col("before") / F.col("prev_filled"))
-        shift = replayed.join(shares, at).groupBy(*at).agg((F.sum(moved) / 2).alias("shift"))
-    else:
-        shift = shares.select(*at, F.lit(0.0).alias("shift")).limit(0)
+    moved = F.abs(F.col("n") / F.col("filled") - (F.col("n") - F.col("delta")) / F.col("prev_filled"))
+    wide = changes.filter("value is not null").join(F.broadcast(shares) if size <= BROADCAST_SPECS else shares, at)
+    shift = wide.groupBy(*at).agg((F.sum(moved) / 2).alias("shift"))
     return both.join(shift, at, "left").select(
         *at, "semantic_type", "is_nullable", "row_count", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_length", "max_length", "mean", "deviation", "entropy", "off_rule", "n_off", "shift",
         "filled", "prev_n_rows", "prev_n_null", "prev_filled", "prev_n_distinct", "prev_mean", "prev_deviation",
     )
 
 
+def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """A profile of every listed column of every load of the datasets that ``rows`` hold.
+
+    Columns: dataset_name, load_no, column_name, semantic_type, is_nullable, row_count (declared), n_rows, n_null,
+    n_distinct, min_value, max_value (text in code point order), min_length, max_length (of text), mean, deviation
+    (population), entropy (nats), n_off (rows that break the comment, by rule ``off_rule``: pattern or range), shift (half
+    the sum of share differences against the load before), filled, and prev_* figures of that load.
+    """
+    names = columns or [c for c in rows.columns if c not in (*KEY, "loaded_at")]
+    kinds = {c: k for c, k in rows.dtypes if c in names}
+    changes = durable(maintained(value_counts(rows, names)))
+    return figures(changes, specifications(counting_registrations(catalog)), kinds)
+
+
 def findings(profiles: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
     """(dataset_name, load_no, column_name, finding): where rows break the statement or differ from the load before."""
     both = (F.col("filled") > 0) & (F.col("prev_filled") > 0)
@@ -258,4 +276,4 @@ def quality_findings(rows: DataFrame, catalog: DataFrame) -> DataFrame:
 
 def store_folder(spark: SparkSession, name: str) -> str:
     """A folder for a ValueCountStore in the shared folder."""
-    return os.path.join(shared_folder(spark), name)
+    return f"{shared_folder(spark).rstrip('/')}/{name}"

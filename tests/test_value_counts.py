@@ -98,6 +98,32 @@ def test_store_applies_loads_one_by_one(spark, tmp_path, rows):
         store.apply(one.unionByName(two.withColumn("load_no", two.load_no + 5)))
 
 
+def test_replay_by_arrays_is_the_replay_by_sums(spark, rows):
+    data, _ = frames(spark, [(1, "a", "u", 1.0, 1), (1, "b", None, 1.0, 1), (2, "a", "u", 1.0, 1), (2, "a", "w", 1.0, 1), (4, "a", "w", 1.0, 1), (7, "c", None, 1.0, 1)], [])
+    counts = V.value_counts(data, ["k", "c"])
+    key = ["dataset_name", "column_name", "value", "load_no", "n", "delta"]
+    assert rows(V.maintained(counts).select(*key)) == rows(V.maintained_history(counts).select(*key))
+
+
+def test_figures_of_a_store_load_by_load_are_those_of_a_recount(spark, tmp_path):
+    change = second(lambda i, r: (f"B{i}" if i < 3 else r[0], "w" if i < 4 else None if i == 5 else r[1], 12.5 if i == 9 else r[2], i % 4))
+    third = [(3, *r[1:]) for r in BASE[:6]]
+    data, catalog = frames(spark, BASE + change + third, [(1, 1, 10), (2, 1, 10), (3, 2, 6)])
+    store = V.ValueCountStore(spark, "file://" + str(tmp_path / "store"), COLUMNS)
+    parts = [store.changes(data.filter(data.load_no == k)) for k in (1, 2, 3)]
+    kinds = {c: k for c, k in data.dtypes if c in COLUMNS}
+    applied = V.figures(parts[0].unionByName(parts[1]).unionByName(parts[2]), V.specifications(V.counting_registrations(catalog)), kinds)
+    key = lambda r: (r.load_no, r.column_name)
+    one, two = sorted(applied.collect(), key=key), sorted(V.profile(data, catalog, COLUMNS).collect(), key=key)
+    assert len(one) == 12
+    for a, b in zip(one, two, strict=True):
+        for x, y in zip(a, b, strict=True):
+            assert x == y or x == pytest.approx(y)
+    own = {key(r): r for r in two}
+    assert own[2, "k"].n_off == 3 and (own[2, "k"].min_value, own[2, "k"].max_value) == ("A3", "B2")
+    assert own[2, "c"].shift == pytest.approx(0.5 * (abs(2 / 9 - 5 / 10) + abs(3 / 9 - 5 / 10) + 4 / 9))
+
+
 def test_nulls_and_empty_tables(spark):
     assert found(spark, [], []) == set()
     data, catalog = frames(spark, BASE, [])
