@@ -46,12 +46,3 @@ def durable(df: DataFrame) -> DataFrame:
 def trimmed(c: Column | str) -> Column:
     """Text without outer blanks (see BLANKS); null stays null."""
     return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(BLANKS))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """The frame in at least as many partitions as there are cores, for work in Python over tables of few files.
-
-    A table that already has as many is left where it lies; otherwise its rows are moved once, by the key's hash.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)

@@ -16,7 +16,8 @@ from zoneinfo import TZPATH, ZoneInfo
 
 import numpy as np
 
-FIRST_YEAR, LAST_YEAR = 1970, 2070
+#: Years whose transitions are known: all that a date may have (see ``instants``).
+FIRST_YEAR, LAST_YEAR = 1899, 2202
 #: Marks wall times that never occur.
 NEVER = np.iinfo(np.int64).min
 _EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)

@@ -5,7 +5,7 @@ of one mask have the same length and the same places for the same fields, so eac
 once per worker, and the parser reads the whole group by slicing a character matrix. Wall times are converted through
 transition tables of the zone database (``functions.zones``). The order of day and month in slashed dates is decided per
 contract by votes of all its rows, which are combined on the map side; rows join contracts by their id and are never
-grouped by it.
+grouped by it. All workers must have the driver's version of the zone database; one that differs raises.
 
 Defined results: null, blank, impossible and unrecognised values, zero and negative numbers, wall times that never occur,
 unknown zones, unknown abbreviations and rows without contract or event id give no row; a wall time that occurs twice is
@@ -25,14 +25,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.functions.zones import NEVER, zone_table
+from tallyspark.functions.zones import NEVER, database_version, zone_table
 
 MONTHS = {m: k + 1 for k, m in enumerate("jan feb mar apr may jun jul aug sep oct nov dec".split())}
 #: Bounds of plausible epoch numbers, in seconds: 2022 to the end of 2027, with a day on either side.
 EPOCH_FROM, EPOCH_TO = 1_640_908_800, 1_830_384_000
 TIME_COLUMNS = ("created_at", "event_date", "timestamp_ms")
-#: Longer values are no timestamps.
-LONGEST = 64
+#: Contracts up to which their terms are broadcast; beyond, rows join them by a shuffle.
+BROADCAST_CONTRACTS = 50_000
 _CLOCK = r"(?P<h>9{1,2}):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?"
 _TAIL = rf"(?:(?:[Tt]| +){_CLOCK}(?: ?(?P<ap>[AaPp][Mm]))?(?:(?P<z>[Zz])| ?(?P<abbr>[A-Za-z]{{2,5}})?(?:(?P<sign>[+-])(?P<zh>9{{1,2}})(?::?(?P<zm>99))?)?)?)?$"
 _FORMS = [
@@ -158,7 +158,6 @@ def parse_group(texts: np.ndarray, mask: str, zone: str, day_first: bool, as_dat
 def parse_batch(value: pd.Series, zone: pd.Series, day_first: pd.Series, as_date: pd.Series) -> pd.Series:
     """UTC microseconds of each value, null where unreadable."""
     text = value.fillna("").str.strip().str.replace(r"\s+", " ", regex=True)
-    text = text.where(text.str.len() <= LONGEST, "")
     frame = pd.DataFrame({"mask": text.str.replace(r"[0-9]", "9", regex=True), "zone": zone.fillna(""), "day_first": day_first.fillna(False), "as_date": as_date.fillna(False)})
     out = np.full(len(text), NEVER, np.int64)
     raw = text.to_numpy(object)
@@ -189,17 +188,23 @@ def _day_orders(rows: DataFrame) -> DataFrame:
 def event_instants(traces: DataFrame, contracts: DataFrame) -> DataFrame:
     """(event_id, utc_us): one UTC instant per event whose time can be read."""
     terms = contracts.select("contract_id", "time_column", "timezone", (F.col("input_mode") == "date").alias("as_date")).dropDuplicates(["contract_id"])
+    small = terms.count() <= BROADCAST_CONTRACTS
+    hint = F.broadcast if small else lambda df: df
     named = F.col("time_column")
     value = F.lit(None).cast("string")
     for c in TIME_COLUMNS:
         kind = dict(traces.dtypes)[c]
         text = F.col(c).cast("string") if kind in ("string", "bigint", "int") else F.col(c).cast("bigint").cast("string")
         value = F.when(named == c, text).otherwise(value)
-    rows = traces.select("event_id", "contract_id", "ingested_at", *TIME_COLUMNS).filter("event_id is not null").join(terms, "contract_id").select("event_id", "contract_id", "ingested_at", "timezone", "as_date", value.alias("value"))
+    rows = traces.select("event_id", "contract_id", "ingested_at", *TIME_COLUMNS).filter("event_id is not null").join(hint(terms), "contract_id").select("event_id", "contract_id", "ingested_at", "timezone", "as_date", value.alias("value"))
     rows = rows.filter("value is not null and timezone is not null")
-    ordered = rows.join(_day_orders(rows), "contract_id", "left").select("event_id", "value", "timezone", F.coalesce("day_first", F.lit(False)).alias("day_first"), F.coalesce("as_date", F.lit(False)).alias("as_date"))
+    ordered = rows.join(hint(_day_orders(rows)), "contract_id", "left").select("event_id", "value", "timezone", F.coalesce("day_first", F.lit(False)).alias("day_first"), F.coalesce("as_date", F.lit(False)).alias("as_date"))
+
+    version = database_version()
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        if database_version() != version:
+            raise RuntimeError(f"this worker's time zone database is {database_version()}, the driver's {version}")
         for b in batches:
             out = pd.DataFrame({"event_id": b["event_id"], "utc_us": parse_batch(b["value"], b["timezone"], b["day_first"], b["as_date"])})
             yield out[out["utc_us"].notna()]

@@ -8,10 +8,9 @@ from pyspark.sql import types as T
 
 from tallyspark.engine import types as semantics
 from tallyspark.engine.guard import quoted
+from tallyspark.functions.quantiles import exact_quantiles
 from tallyspark.operators.relational import top_per_group
 
-#: Rows above which distinct counts and quantiles are approximate by default.
-EXACT_ROWS = 100_000
 QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 
 
@@ -19,18 +18,17 @@ QUANTILES = (0.25, 0.5, 0.75, 0.95, 0.99)
 SKETCH_SIZE, DISTINCT_ERROR = 4000, 0.03
 
 
-def profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
+def profile(df: DataFrame, exact: bool = True) -> DataFrame:
     """One row per column: column_name, semantic_type, n_rows, n_null, null_share, n_distinct, mean, sd, min, max, p25 to p99, skewness, kurtosis.
 
     Counts and moments are one generated aggregate; quantiles and distinct counts, which would keep it from being
-    generated, are aggregates of their own, so a column is read up to three times but no value is shuffled except for exact
-    distinct counts. ``exact`` None decides by EXACT_ROWS. Moments that aren't defined are null; figures of numbers are
-    null for other types.
+    generated, are aggregates of their own. Exact quantiles come from value counts in sorted ranges, so no task holds a
+    column; with exact False they and the distinct counts are sketches, and nothing but sketches is shuffled. The choice is
+    the caller's and doesn't depend on the table's size. Moments that aren't defined are null; figures of numbers are null
+    for other types.
     """
-    roles = semantics.semantic_types(df)
     flat = [f for f in df.schema.fields if not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.BinaryType)]
-    if exact is None:
-        exact = df.limit(EXACT_ROWS + 1).count() <= EXACT_ROWS
+    numbers = [f for f in flat if isinstance(f.dataType, T.NumericType)]
     shares = F.array(*map(F.lit, QUANTILES))
     parts, places, distinct = [F.count(F.lit(1)).alias("n_rows")], [], []
     for k, f in enumerate(flat):
@@ -40,7 +38,7 @@ def profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
         if isinstance(f.dataType, T.NumericType):
             x = c.cast("double")
             parts += [F.avg(x).alias(f"mean{k}"), F.stddev_samp(x).alias(f"sd{k}"), F.min(x).alias(f"min{k}"), F.max(x).alias(f"max{k}"), semantics.sample_skewness(x).alias(f"skew{k}"), semantics.sample_kurtosis(x).alias(f"kurt{k}")]
-            places.append((F.percentile(x, shares) if exact else F.kll_sketch_agg_double(x, SKETCH_SIZE)).alias(f"q{k}"))
+            places += [] if exact else [F.kll_sketch_agg_double(x, SKETCH_SIZE).alias(f"q{k}")]
     row = df.agg(*parts)
     for more in (places, distinct):
         if more:
@@ -53,13 +51,20 @@ def profile(df: DataFrame, exact: bool | None = None) -> DataFrame:
         number = isinstance(f.dataType, T.NumericType)
         at = lambda name, k=k, number=number: F.col(f"{name}{k}").cast("double") if number else none
         lines.append(F.struct(
-            F.lit(f.name).alias("column_name"), F.lit(roles[f.name]).alias("semantic_type"), F.col("n_rows"), (F.col("n_rows") - F.col(f"filled{k}")).alias("n_null"),
+            F.lit(f.name).alias("column_name"), semantics.role_column(f, F.col("n_rows"), F.col(f"distinct{k}")).alias("semantic_type"), F.col("n_rows"), (F.col("n_rows") - F.col(f"filled{k}")).alias("n_null"),
             F.coalesce(F.try_divide(F.col("n_rows") - F.col(f"filled{k}"), F.col("n_rows")), F.lit(0.0)).alias("null_share"), F.col(f"distinct{k}").alias("n_distinct"),
             at("mean").alias("mean"), at("sd").alias("sd"), at("min").alias("min"), at("max").alias("max"),
-            *[(F.get(F.col(f"q{k}"), F.lit(i)).cast("double") if number else none).alias(f"p{round(100 * q)}") for i, q in enumerate(QUANTILES)],
+            *[(F.get(F.col(f"q{k}"), F.lit(i)).cast("double") if number and not exact else none).alias(f"p{round(100 * q)}") for i, q in enumerate(QUANTILES)],
             at("skew").alias("skewness"), at("kurt").alias("kurtosis"),
         ))
-    return row.select(F.inline(F.array(*lines)))
+    out = row.select(F.inline(F.array(*lines)))
+    if not exact or not numbers:
+        return out
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(f.name).alias("column_name"), F.col(quoted(f.name)).cast("double").alias("_x")) for f in numbers])))
+    found = exact_quantiles(long, {"column_name": F.col("column_name")}, F.col("_x"), list(QUANTILES))
+    named = [f"p{round(100 * q)}" for q in QUANTILES]
+    with_q = out.join(found, "column_name", "left")
+    return with_q.select(*[F.get("q", F.lit(named.index(c))).alias(c) if c in named else F.col(c) for c in out.columns])
 
 
 def quality_score(profiled: DataFrame) -> DataFrame:

@@ -54,7 +54,10 @@ class Attribute:
 
 def read_attributes(ontology: DataFrame) -> list[Attribute]:
     """The declared properties other than primary keys; rows without prefix or properties are skipped."""
-    rows = ontology.select("object_name", "id_prefix", "primary_key_column", "properties_json").limit(MAX_ATTRIBUTES + 1).collect()
+    kept = ontology.filter("id_prefix <> '' and properties_json <> ''")
+    if (n := kept.count()) > MAX_ATTRIBUTES:
+        raise ValueError(f"{n} object types; at most {MAX_ATTRIBUTES} attributes are read on the driver")
+    rows = kept.select("object_name", "id_prefix", "primary_key_column", "properties_json").collect()
     out = []
     for row in rows:
         if not row.id_prefix or not row.properties_json:

@@ -28,8 +28,7 @@ def _round(df, places=4, skip=()):
 
 
 def eda_profile(spark, d):
-    df = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
-    return _round(P.profile(df, exact=True)).select("column_name", "n_rows", "n_null", "n_distinct", "mean", "sd", "min", "max", "p25", "p50", "p75", "p95", "p99", "skewness", "kurtosis")
+    return _round(P.profile(table(spark, d, "orders"))).select("column_name", "n_rows", "n_null", "n_distinct", "mean", "sd", "min", "max", "p25", "p50", "p75", "p95", "p99", "skewness", "kurtosis")
 
 
 def eda_top_values(spark, d):
@@ -37,7 +36,7 @@ def eda_top_values(spark, d):
 
 
 def eda_quality_score(spark, d):
-    return P.quality_score(P.profile(table(spark, d, "trace_rows").drop("ingested_at"), exact=True))
+    return P.quality_score(P.profile(table(spark, d, "trace_rows").drop("ingested_at")))
 
 
 def driver_sum(spark, d):
@@ -267,7 +266,7 @@ _SUITE = [("not_null", "region", "count(*) FILTER (region IS NULL)"), ("unique",
 SQL = {
     "eda_profile": " UNION ALL ".join(
         [f"SELECT '{c}' AS column_name, n_rows, n_null, n_distinct, {', '.join(f'round({f}, 4) AS {f}' for f in _FIGS)} FROM (SELECT {_NUMERIC.format(c)}, {_FIG.format(c)} FROM orders)" for c in ("o_orderkey", "o_custkey", "o_totalprice")]
-        + [f"SELECT 'o_orderstatus', {_NUMERIC.format('o_orderstatus')}, {', '.join('NULL' for _ in _FIGS)} FROM orders"]),
+        + [f"SELECT '{c}', {_NUMERIC.format(c)}, {', '.join('NULL' for _ in _FIGS)} FROM orders" for c in ("o_orderstatus", "o_orderdate", "o_orderpriority")]),
     "eda_top_values": " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS INT) AS place FROM orders WHERE {c} IS NOT NULL GROUP BY {c} QUALIFY place <= 5" for c in ("o_orderstatus", "o_orderpriority", "o_custkey")),
     "eda_quality_score": "SELECT greatest(20, 100 - CAST(sum(CASE WHEN s > 0.3 THEN 10 WHEN s > 0.05 THEN 3 ELSE 0 END) AS BIGINT)) AS score FROM ("
         + " UNION ALL ".join(f"SELECT 1 - count({c}) / count(*) AS s FROM trace_rows" for c in "event_id contract_id session_id user_id event_type event_name service_name page_path duration_ms status_code created_at event_date timestamp_ms".split()) + ")",

@@ -70,6 +70,8 @@ def test_semantic_types(spark):
     df = spark.range(200).selectExpr("id as user_id", "id % 3 as kind", "id * 1.5 as amount", "cast(id as string) as word", "cast(id % 4 as string) as grp", "date'2024-01-01' as day", "array(id) as a", "true as flag")
     assert types.semantic_types(df) == {"user_id": "IDENTIFIER", "kind": "DIMENSION_CATEGORICAL", "amount": "MEASURE", "word": "IDENTIFIER", "grp": "DIMENSION_CATEGORICAL", "day": "DIMENSION_TEMPORAL", "a": "TEXT", "flag": "DIMENSION_CATEGORICAL"}
     assert set(types.semantic_types(df.limit(0))) == set(df.columns)
+    late = spark.range(9000).selectExpr("if(id < 6000, 1, id) as n", "if(id < 6000, 'x', cast(id as string)) as t")  # no prefix tells what follows
+    assert types.semantic_types(late) == types.semantic_types(late.orderBy(late.n.desc())) == {"n": "MEASURE", "t": "TEXT"}
 
 
 def test_moments(spark):

@@ -76,3 +76,7 @@ def test_zone_tables_agree_with_the_database(name):
     want = [int(w.replace(tzinfo=z, fold=0).timestamp()) * 1_000_000 for w in wall]
     assert table.to_utc(us).tolist() == want
     assert table.version
+
+
+def test_old_and_late_dates_know_their_zone(spark):
+    assert run(spark, ["1940-07-01 12:00:00", "1916-07-01 12:00:00", "2150-07-01 12:00:00", "x" * 500]) == ["1940-07-01 10:00:00.000", "1916-07-01 10:00:00.000", "2150-07-01 10:00:00.000", None]
