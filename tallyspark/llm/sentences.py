@@ -330,7 +330,7 @@ def parse(text: str, starters: frozenset[str]) -> list[Block]:
 #: What comes before the first word of a block, and before a word behind a certain mark (Java patterns): a word of three
 #: letters or a number, its mark, a blank and opening marks.
 _BLOCK_BEGINS = r"(?:^|(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n))\s*[\p{Ps}\p{Pi}\p{Po}]*"
-_MARK_BEGINS = r"(?<=\p{Ll}{3}|[0-9%])[.!?]\s+[\p{Ps}\p{Pi}¿¡\"]*"
+_MARK_BEGINS = r"[.!?](?<=(?:\p{Ll}{3}|[0-9%])[.!?])\s+[\p{Ps}\p{Pi}¿¡\"]*"
 _OPENING = r"([\p{L}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}]][\p{L}\p{M}'’]*+)(?![\p{N}])"
 
 
