@@ -69,18 +69,34 @@ def maintained_history(counts: DataFrame) -> DataFrame:
     return signed_deltas(counts).withColumn("n", F.sum("delta").over(w)).withColumn("before", F.col("n") - F.col("delta"))
 
 
-def maintained(counts: DataFrame) -> DataFrame:
-    """``maintained_history`` with one array per value instead of a sort: (dataset_name, column_name, value, load_no, n, delta).
+#: Loads that are replayed side by side.
+LOADS_AT_ONCE = 32
 
-    A value's array is as long as there are loads that hold it.
+
+def maintained(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """``maintained_history`` of all loads of the rows: (dataset_name, column_name, value, load_no, n, delta).
+
+    One aggregate keeps a count per load beside each value, so that there is one shuffle, of map-side combined counts, and
+    no sort; deltas are differences of neighbouring counts. Load numbers are replayed LOADS_AT_ONCE at a time.
     """
-    held = counts.groupBy("dataset_name", "column_name", "value").agg(F.map_from_entries(F.collect_list(F.struct("load_no", "n"))).alias("at"))
-    loads = F.map_keys("at")
-    touched = F.array_union(loads, F.transform(loads, lambda k: (k + 1).cast("int")))
-    zero = F.lit(0).cast("long")
-    count = lambda k: F.coalesce(F.try_element_at("at", k), zero)
-    steps = F.transform(touched, lambda k: F.struct(k.alias("load_no"), count(k).alias("n"), (count(k) - count((k - 1).cast("int"))).alias("delta")))
-    return held.select("dataset_name", "column_name", "value", F.inline(steps))
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+    numbered = rows.filter("dataset_name is not null and load_no is not null")
+    loads = sorted(r.load_no for r in numbered.select("load_no").distinct().collect())
+    out = None
+    for k in range(0, max(1, len(loads)), LOADS_AT_ONCE):
+        own = sorted({x for n in loads[k : k + LOADS_AT_ONCE] for x in (n, n + 1)})
+        known = sorted({*own, *(n - 1 for n in own)} & set(loads))
+        # a load that follows this slice is emitted with the next, where its own rows are counted
+        emitted = [n for n in own if n in loads[k : k + LOADS_AT_ONCE] or n not in loads]
+        counted = numbered if len(known) == len(loads) else numbered.filter(F.col("load_no").isin(*known))
+        long = counted.select("dataset_name", "load_no", F.inline(pairs))
+        held = long.groupBy("dataset_name", "column_name", "value").agg(F.count(F.lit(1)).alias("n_all"), *[F.count_if(F.col("load_no") == n).alias(f"n{n}") for n in known])
+        count = lambda n, known=known: F.col(f"`n{n}`") if n in known else F.lit(0).cast("long")
+        steps = F.array(*[F.struct(F.lit(n).cast("int").alias("load_no"), count(n).alias("n"), (count(n) - count(n - 1)).alias("delta")) for n in emitted])
+        touched = F.filter(steps, lambda x: (x["n"] > 0) | (x["delta"] != 0)) if emitted else F.array().cast("array<struct<load_no:int,n:bigint,delta:bigint>>")
+        part = held.select("dataset_name", "column_name", "value", F.inline(touched))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 class ValueCountStore:
@@ -189,8 +205,8 @@ def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> Data
     known = durable(specs)
     size = known.count()
     patterns = [r.pattern for r in known.filter("pattern is not null").select("pattern").distinct().limit(COMPILED_PATTERNS + 1).collect()]
-    stated = known.select(*at, "pattern", "low_text", "high_text", "low_number", "high_number")
-    joined = changes.join(F.broadcast(stated) if size <= BROADCAST_SPECS else stated, at, "left")
+    stated = known.filter("off_rule <> ''").select(*at, "pattern", "low_text", "high_text", "low_number", "high_number")
+    joined = changes.filter("n > 0").join(F.broadcast(stated) if size <= BROADCAST_SPECS else stated, at, "left")
     value, is_number = F.col("value"), F.col("column_name").isin(*numeric) if numeric else F.lit(False)
     is_date, is_text = F.col("column_name").isin(*dates) if dates else F.lit(False), F.col("column_name").isin(*text) if text else F.lit(False)
     measured = F.when(is_number, value.try_cast("double"))
@@ -199,6 +215,8 @@ def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> Data
     unlike = F.when(F.col("pattern").isNotNull(), ~_matches(patterns if len(patterns) <= COMPILED_PATTERNS else []))
     off = value.isNotNull() & (F.coalesce(unlike, F.lit(False)) | F.coalesce(outside, F.lit(False)))
     held = F.col("n") > 0
+    # conditions refer to n, so that they aren't moved below the counts, which all three aggregates share
+    only = lambda c: F.coalesce(F.when(held | (F.col("delta") != 0), c), F.lit(False))
     n = F.when(value.isNotNull() & held, F.col("n"))
     # all buffers are numbers, so this stays a hash aggregate
     sums = joined.groupBy(*at).agg(
@@ -206,7 +224,7 @@ def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> Data
         F.min(F.when(held, number)).alias("low"), F.max(F.when(held, number)).alias("high"), F.min(F.when(held & is_text, F.length("value"))).alias("min_length"), F.max(F.when(held & is_text, F.length("value"))).alias("max_length"),
         F.sum(n * measured).alias("total"), F.sum(n * measured * measured).alias("squares"), F.sum(n * F.log(n)).alias("nlogn"), F.coalesce(F.sum(F.when(off, F.col("n"))), F.lit(0)).alias("n_off"),
     ).filter("n_rows > 0").withColumn("filled", F.col("n_rows") - F.col("n_null"))
-    ends = changes.filter(is_text & held & value.isNotNull()).groupBy(*at).agg(F.min("value").alias("first_text"), F.max("value").alias("last_text"))
+    ends = changes.filter(only(is_text & held & value.isNotNull())).groupBy(*at).agg(F.min("value").alias("first_text"), F.max("value").alias("last_text"))
     flat = F.col("low") == F.col("high")
     variance = F.try_divide(F.col("squares") - F.try_divide(F.col("total") * F.col("total"), F.col("filled")), F.col("filled"))
     shown = lambda c, t: F.when(is_number, F.col(c).cast("string")).when(is_text, F.col(t)).otherwise(F.date_from_unix_date(F.col(c).cast("int")).cast("string"))
@@ -222,7 +240,8 @@ def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> Data
     both = durable(listed.join(own, at).join(prev, at, "left"))
     shares = both.filter("semantic_type = 'DIMENSION_CATEGORICAL' and filled > 0 and prev_filled > 0").select(*at, "filled", "prev_filled")
     moved = F.abs(F.col("n") / F.col("filled") - (F.col("n") - F.col("delta")) / F.col("prev_filled"))
-    wide = changes.filter("value is not null").join(F.broadcast(shares) if size <= BROADCAST_SPECS else shares, at)
+    categories = [r.column_name for r in known.filter("semantic_type = 'DIMENSION_CATEGORICAL'").select("column_name").distinct().filter(F.col("column_name").isin(*kinds)).collect()]  # at most the columns of the table
+    wide = changes.filter(only(value.isNotNull() & F.col("column_name").isin(*categories))).join(F.broadcast(shares) if size <= BROADCAST_SPECS else shares, at)
     shift = wide.groupBy(*at).agg((F.sum(moved) / 2).alias("shift"))
     return both.join(shift, at, "left").select(
         *at, "semantic_type", "is_nullable", "row_count", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_length", "max_length", "mean", "deviation", "entropy", "off_rule", "n_off", "shift",
@@ -240,8 +259,9 @@ def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = Non
     """
     names = columns or [c for c in rows.columns if c not in (*KEY, "loaded_at")]
     kinds = {c: k for c, k in rows.dtypes if c in names}
-    changes = durable(maintained(value_counts(rows, names)))
-    return figures(changes, specifications(counting_registrations(catalog)), kinds)
+    here = rows.select("dataset_name").distinct()
+    specs = specifications(counting_registrations(catalog).join(here, "dataset_name", "left_semi"))
+    return figures(maintained(rows, names), specs, kinds)
 
 
 def findings(profiles: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
