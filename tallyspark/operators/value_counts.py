@@ -181,8 +181,8 @@ def specifications(registered: DataFrame) -> DataFrame:
     )
 
 
-#: Listed columns of all loads up to which specifications are broadcast, and distinct patterns that are compiled once each.
-BROADCAST_SPECS, COMPILED_PATTERNS = 50_000, 500
+#: Listed columns of all loads up to which specifications are broadcast (about 100 bytes each), and distinct patterns that are compiled once each.
+BROADCAST_SPECS, COMPILED_PATTERNS = 100_000, 500
 
 
 def _matches(patterns: list[str]) -> Column:
@@ -193,20 +193,26 @@ def _matches(patterns: list[str]) -> Column:
     return out
 
 
-def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> DataFrame:
+def categories_of(specs: DataFrame, kinds: dict[str, str]) -> list[str]:
+    """The columns that some load lists as categories; at most the columns of the table."""
+    return sorted(r.column_name for r in specs.filter("semantic_type = 'DIMENSION_CATEGORICAL'").select("column_name").distinct().filter(F.col("column_name").isin(*kinds)).collect())
+
+
+def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str], of_categories: DataFrame | None = None) -> DataFrame:
     """All profile figures of every load and listed column, from rows (dataset_name, column_name, value, load_no, n, delta).
 
-    kinds: the type of each column. Rows of n = 0, values that a load no longer holds, count for the shift only.
+    kinds: the type of each column; of_categories: the changes of ``categories_of``, where they can be had more cheaply than
+    from all changes. Rows of n = 0, values that a load no longer holds, count for the shift only.
     """
     numeric = [c for c, k in kinds.items() if k.startswith("decimal") or k in NUMERIC_TYPES]
     dates = [c for c, k in kinds.items() if k == "date"]
     text = [c for c in kinds if c not in numeric and c not in dates]
     at = [*KEY, "column_name"]
-    known = durable(specs)
-    size = known.count()
+    known = specs
     patterns = [r.pattern for r in known.filter("pattern is not null").select("pattern").distinct().limit(COMPILED_PATTERNS + 1).collect()]
     stated = known.filter("off_rule <> ''").select(*at, "pattern", "low_text", "high_text", "low_number", "high_number")
-    joined = changes.filter("n > 0").join(F.broadcast(stated) if size <= BROADCAST_SPECS else stated, at, "left")
+    stated_rows, listed_rows = known.agg(F.count_if(F.col("off_rule") != ""), F.count(F.lit(1))).first()
+    joined = changes.filter("n > 0").join(F.broadcast(stated) if stated_rows <= BROADCAST_SPECS else stated, at, "left")
     value, is_number = F.col("value"), F.col("column_name").isin(*numeric) if numeric else F.lit(False)
     is_date, is_text = F.col("column_name").isin(*dates) if dates else F.lit(False), F.col("column_name").isin(*text) if text else F.lit(False)
     measured = F.when(is_number, value.try_cast("double"))
@@ -240,8 +246,8 @@ def figures(changes: DataFrame, specs: DataFrame, kinds: dict[str, str]) -> Data
     both = durable(listed.join(own, at).join(prev, at, "left"))
     shares = both.filter("semantic_type = 'DIMENSION_CATEGORICAL' and filled > 0 and prev_filled > 0").select(*at, "filled", "prev_filled")
     moved = F.abs(F.col("n") / F.col("filled") - (F.col("n") - F.col("delta")) / F.col("prev_filled"))
-    categories = [r.column_name for r in known.filter("semantic_type = 'DIMENSION_CATEGORICAL'").select("column_name").distinct().filter(F.col("column_name").isin(*kinds)).collect()]  # at most the columns of the table
-    wide = changes.filter(only(value.isNotNull() & F.col("column_name").isin(*categories))).join(F.broadcast(shares) if size <= BROADCAST_SPECS else shares, at)
+    moving = changes.filter(only(F.col("column_name").isin(*categories_of(known, kinds)))) if of_categories is None else of_categories
+    wide = moving.filter(only(value.isNotNull())).join(F.broadcast(shares) if listed_rows <= BROADCAST_SPECS else shares, at)
     shift = wide.groupBy(*at).agg((F.sum(moved) / 2).alias("shift"))
     return both.join(shift, at, "left").select(
         *at, "semantic_type", "is_nullable", "row_count", "n_rows", "n_null", "n_distinct", "min_value", "max_value", "min_length", "max_length", "mean", "deviation", "entropy", "off_rule", "n_off", "shift",
@@ -260,8 +266,9 @@ def profile(rows: DataFrame, catalog: DataFrame, columns: list[str] | None = Non
     names = columns or [c for c in rows.columns if c not in (*KEY, "loaded_at")]
     kinds = {c: k for c, k in rows.dtypes if c in names}
     here = rows.select("dataset_name").distinct()
-    specs = specifications(counting_registrations(catalog).join(here, "dataset_name", "left_semi"))
-    return figures(maintained(rows, names), specs, kinds)
+    specs = durable(specifications(counting_registrations(catalog).join(here, "dataset_name", "left_semi")))
+    categories = categories_of(specs, kinds)
+    return figures(maintained(rows, names), specs, kinds, maintained(rows, categories) if categories else None)
 
 
 def findings(profiles: DataFrame, rows: DataFrame, catalog: DataFrame) -> DataFrame:
