@@ -47,7 +47,11 @@ def isolation_forest(df: DataFrame, names: list[str], contamination: float = 0.0
     """
     columns(df, names)
     complete = df.select(*[F.col(quoted(c)).try_cast("double").alias(f"x{i}") for i, c in enumerate(names)]).dropna()
-    data = complete.orderBy(F.xxhash64(*complete.columns)).limit(fit_rows).toPandas().to_numpy(float)
+    h, n, drawn = F.xxhash64(*complete.columns), complete.count(), complete
+    if n > 2 * fit_rows:  # only rows of small hash are sorted, so that no task merges fit_rows rows of every partition
+        near = complete.filter(h < F.lit(int(-(1 << 63) + (1 << 64) * (2 * fit_rows / n))))
+        drawn = near if near.count() >= fit_rows else complete
+    data = drawn.orderBy(h).limit(fit_rows).toPandas().to_numpy(float)
     rng = np.random.default_rng(seed)
 
     def grow(rows: np.ndarray, depth: int) -> tuple:
